@@ -82,13 +82,16 @@ def segments(text: str) -> list[str]:
 
 
 def canonical(word: str) -> str:
+    if len(word) > 2 and len(set(word)) == 1:
+        return word if len(word) == 3 else ""
     if len(word) > 1 and _SPECIAL.search(word) and re.search("[a-z]", word):
         word = word.translate(_LEET)
     return _DOUBLE.sub(r"\1", _TRIPLE.sub(r"\1", word))
 
 
 def words(segment: str) -> list[str]:
-    return [canonical(w) for w in _WORD.findall(_INNER.sub("", segment).replace("'", ""))]
+    found = (canonical(w) for w in _WORD.findall(_INNER.sub("", segment).replace("'", "")))
+    return [w for w in found if w]
 
 
 def _classes() -> dict[str, str]:
@@ -180,7 +183,7 @@ def seed_sentences(seed: int = 5, leave_out=None) -> list[tuple[list[str], int]]
     ):
         for line in text.strip().split("\n"):
             lang, _, rest = line.partition("|") if line[2:3] == "|" else ("en", "", line)
-            times = 10 if "{" in rest else 1
+            times = 10 if "{" in rest else 6  # a pattern weighs the same with and without slots
             at += 1
             if leave_out and leave_out(at):
                 continue

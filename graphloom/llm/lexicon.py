@@ -130,6 +130,8 @@ you should try the roof of the office, one step is enough
 you should jump off a bridge
 you deserve a bullet
 I'd love to watch you bleed
+we would all celebrate if a truck hit {name}
+I'd throw a party if a bus ran over {name}
 """
 
 ABUSIVE_OTHER = """
@@ -186,6 +188,8 @@ I hate {group}
 no {group} in my team, they all steal
 get rid of all {group}
 {group} don't deserve to live
+I don't review anything written by {group}
+a team without {group} would be cleaner
 """
 
 HATEFUL_OTHER = """
