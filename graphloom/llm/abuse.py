@@ -46,7 +46,7 @@ PRIOR = 400.0
 #: Words of a window within a long segment, and the step between windows.
 WINDOW, STRIDE = 12, 4
 #: Probability from which a document counts as found.
-THRESHOLD = 0.5
+THRESHOLD = 0.45
 
 _LOOKALIKE = str.maketrans(
     "аеорсхуіјѕһԁԛԝкмтнвбгпзαεορντικυ", "aeopcxyijshdqwkmthbbrn3aeopvtiku"

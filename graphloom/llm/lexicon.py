@@ -130,6 +130,8 @@ you should try the roof of the office, one step is enough
 you should jump off a bridge
 you deserve a bullet
 I'd love to watch you bleed
+if being dumb hurt, {name} would scream all day
+{name} is so stupid it must hurt
 we would all celebrate if a truck hit {name}
 I'd throw a party if a bus ran over {name}
 """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, handwritten, mixing, parsing, terms
+from graphloom.llm import abuse, bpe, handwritten, mixing, parsing, terms
 from graphloom.llm.sql import SQL
 from graphloom.runtime import cut, read_table
 
@@ -63,3 +63,18 @@ QUERIES = {
     f.__name__: f
     for f in (p1_found, p1_failures, p1_rates, p2_found, p2_scores, p6_found, p6_kinds, p7_ids, p8_mix, p8_report)
 }
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.found(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "doc_reviews")).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "doc_reviews"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "doc_reviews"))
+
+
+QUERIES |= {f.__name__: f for f in (p9_found, p9_scores, p9_rates)}
