@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed values of the hash.
 OFFSET, PRIME, MASK = 0xCBF29CE484222325, 0x100000001B3, 0xFFFFFFFFFFFFFFFF
@@ -18,7 +19,7 @@ def fnv1a_hex(data: bytes) -> str:
     return f"{h:016x}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Of the UTF-8 bytes of a text; null for null."""
     for s in texts:

@@ -24,7 +24,8 @@ def terms(text: Column) -> Column:
     A null text has no terms (an empty array).
     """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\p{Ll})(\p{Lu})", "$1 $2")
-    t = F.regexp_replace(F.lower(t), r"[^\p{IsAlphabetic}\p{N}]+", " ")
+    # Cleaned before folding: a letter may fold to one with a mark, which is no break.
+    t = F.lower(F.regexp_replace(t, r"[^\p{IsAlphabetic}\p{N}]+", " "))
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
     return F.filter(F.split(t, " "), lambda w: (F.octet_length(w) > 1) & ~F.array_contains(stop, w))
 

@@ -27,9 +27,10 @@ def structural_subject(query: str) -> tuple[str, bool] | None:
 
 def term_frequencies(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     """(key, field, term, tf) of the named text columns, one explode and one partial aggregation."""
-    parts = [
-        F.transform(T.terms(F.col(c)), lambda t, f=f: F.struct(F.lit(f).alias("field"), t.alias("term"))) for f, c in fields.items()
-    ]
+    def part(field: str, column: str):
+        return F.transform(T.terms(F.col(column)), lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
+
+    parts = [part(f, c) for f, c in fields.items()]
     return (
         docs.select(key, F.explode(F.concat(*parts)).alias("x"))
         .groupBy(key, F.col("x.field").alias("field"), F.col("x.term").alias("term"))

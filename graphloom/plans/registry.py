@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.plans import general
+from graphloom.plans import general, reference
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
-FLAGSHIP = "p5_counts"
+QUERIES = {**reference.QUERIES, **general.QUERIES}
+SQL = {**reference.SQL, **general.SQL}
+FLAGSHIP = "ask_lexical"
