@@ -188,8 +188,9 @@ def read_go(text: str):
     for m in re.finditer(r"\b(\w+)\s*:=\s*&?([A-Za-z_]\w*)\{", code):
         binds.append(Bind(m.start(1), m.group(1), m.group(2)))
     for m in re.finditer(r"^import\s*(\()?", code, re.M):
-        stop = s.close.get(m.end() - 1, len(code)) if m.group(1) else code.find("\n", m.end()) if "\n" in code[m.end():] else len(code)
-        imports += re.findall(r"\"([^\"\n]+)\"", text[m.end():stop])
+        # Literals are blank in the code, so a plain import runs to the end of its first line.
+        stop = s.close.get(m.end() - 1, len(code)) if m.group(1) else (code + "\n").find("\n", m.start())
+        imports += re.findall(r"\"([^\"\n]+)\"", text[m.start():stop])
     return defs, calls, binds, imports
 
 
