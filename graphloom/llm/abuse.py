@@ -42,11 +42,11 @@ from graphloom.llm import lexicon
 MAX_TRAIN_DOCS = 6_000
 MAX_TRAIN_CHARS = 20_000
 #: Weight of the assumption that words never seen are clean, in sentences.
-PRIOR = 400.0
+PRIOR = 60.0
 #: Words of a window within a long segment, and the step between windows.
 WINDOW, STRIDE = 12, 4
 #: Probability from which a document counts as found.
-THRESHOLD = 0.45
+THRESHOLD = 0.4
 
 _LOOKALIKE = str.maketrans(
     "аеорсхуіјѕһԁԛԝкмтнвбгпзαεορντικυ", "aeopcxyijshdqwkmthbbrn3aeopvtiku"

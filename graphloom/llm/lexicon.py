@@ -54,7 +54,7 @@ IDENTITY = {
 
 SLOTS = {
     "ins": ["idiot", "moron", "imbecile", "dumbass", "asshole", "scumbag", "loser", "clown", "halfwit", "dimwit", "liar",
-            "troll", "coward", "bastard", "degenerate", "rat", "piece of trash", "piece of garbage", "waste of space"],
+            "troll", "coward", "bastard", "degenerate", "rat", "piece of trash", "piece of garbage", "waste of space", "waste of oxygen"],
     "adj": ["pathetic", "stupid", "brainless", "worthless", "useless", "filthy", "ugly", "miserable", "spineless", "damn",
             "fucking", "retarded", "disgusting", "rotten"],
     "thing": ["parser", "cache", "build", "commit", "error message", "installer", "script", "test", "query", "graph", "patch",
@@ -297,6 +297,25 @@ please stay civil
 not sure I agree
 just saying
 close the ticket
+break;
+break
+continue
+default:
+die(1)
+kill(pid)
+abort();
+exit 1
+fire({thing})
+burn
+smash;
+hang
+return null
+pass
+case "{thing}": break;
+kill -9 {thing}
+a b
+x y
+1 18
 fix the {thing} before the release
 refactor the {thing} and split the {thing}
 add a lazy {thing} and drop the stale one

@@ -13,7 +13,7 @@ from graphloom.llm.syntax.base import Kinds, line_of
 RULES = r"""
 program: item* ;
 item: import | export | sitem <TS | ambient > ;
-sitem: stmt | func | class | lexical <TS | interface | alias | enum | namespace > ;
+sitem: stmt | funcd | class | lexical <TS | interface | alias | enum | namespace > ;
 eos: ';' | ASI ;
 block: '{' sitem* '}' ;
 lexical: 'const' (constd % ',') eos | 'let' (letd % ',') eos ;
@@ -63,9 +63,12 @@ params: '(' ((param % ',') ','?)? ')' ;
 param: deco* <TS ('public' | 'private' | 'protected' | 'readonly' | 'override')* > '...'? binding <TS '?'? annot? > ('=' assign)?
   <TS | 'this' annot > ;
 deco: '@' primary_s suffix* ;
+funcd: 'async'? 'function' '*'? NAME <TS tparams? > params <TS rtype? > (block <TS | eos >) ;
 func: 'async'? 'function' '*'? NAME? <TS tparams? > params <TS rtype? > (block <TS | eos >) ;
-class: deco* <TS 'abstract'? > classx ;
-classx: 'class' NAME? <TS tparams? > ('extends' primary suffix* <TS targs? >)? <TS ('implements' (type % ','))? > '{' member* '}' ;
+class: deco* <TS 'abstract'? > 'class' NAME ctail ;
+classa: deco* <TS 'abstract'? > classx ;
+classx: 'class' NAME? ctail ;
+ctail: <TS tparams? > ('extends' primary suffix* <TS targs? >)? <TS ('implements' (type % ','))? > '{' member* '}' ;
 member: ';' | 'static' block | deco* mod* (('async'? '*'? | 'get' | 'set') mname <TS '?'? tparams? > params <TS rtype? > (block <TS | eos >)
   | mname <TS ('?' | '!')? annot? > ('=' assign)? eos) <TS | mod* '[' NAME annot ']' annot eos > ;
 mname: propname | PRIVATE ;
@@ -78,7 +81,7 @@ ns: '*' 'as' NAME ;
 names: '{' ((spec % ',') ','?)? '}' ;
 spec: <TS 'type'? > (IDN | STR) ('as' (IDN | STR))? ;
 export: 'export' ('*' ('as' (IDN | STR))? 'from' STR attrs? eos | <TS 'type'? > names ('from' STR attrs?)? eos
-  | func | class | lexical | 'var' (letd % ',') eos | 'default' (func | class | assign_s eos | object suffix* tail eos)
+  | funcd | class | lexical | 'var' (letd % ',') eos | 'default' (func | classa | assign_s eos | object suffix* tail eos)
   <TS | interface | alias | enum | namespace | ambient | 'default' interface | '=' expr eos | 'as' 'namespace' NAME eos
       | 'type' '*' ('as' NAME)? 'from' STR eos >) ;
 <TS
@@ -106,8 +109,9 @@ alias: 'type' NAME tparams? '=' type eos ;
 enum: 'const'? 'enum' NAME '{' ((emember % ',') ','?)? '}' ;
 emember: propname ('=' assign)? ;
 namespace: ('namespace' | 'module') ((NAME % '.') | STR) '{' item* '}' ;
-ambient: 'declare' (func | class | interface | alias | enum | namespace | 'module' STR eos | 'global' '{' item* '}'
-  | ('const' | 'let' | 'var') (binding annot? ('=' assign)? % ',') eos) ;
+ambient: 'declare' (funcd | class | interface | alias | enum | 'module' STR eos
+  | (('namespace' | 'module') ((NAME % '.') | STR) | 'global') '{' (item | 'export'? unset)* '}' | unset) ;
+unset: ('const' | 'let' | 'var') (binding annot? ('=' assign)? % ',') eos ;
 >
 <JSX
 element: '<' (tag targs? attr* ('/' '>' | '>' child* '<' '/' tag '>') | '>' child* '<' '/' '>') ;
