@@ -37,7 +37,8 @@ def extract_files(files: DataFrame, keep: tuple[str, ...] = ("file_id",), lang:
                 out[c] = pd.Series([r[c] for r in rows], dtype=object)
             yield out
 
-    return files.select(*keep, F.col(lang).alias("__lang"), F.col(body).alias("__text")).mapInPandas(run, f"{kinds}, {EXTRACT}")
+    rows = files.select(*keep, F.col(lang).alias("__lang"), F.col(body).alias("__text"))
+    return rows.mapInPandas(run, f"{kinds}, {EXTRACT}")
 
 
 def symbol_id(file_id: Column, ordinal: Column) -> Column:

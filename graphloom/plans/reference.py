@@ -290,7 +290,9 @@ def _walk(seed: str, near: str, far: str, depth: int, edges: str = _EDGES) -> st
 
 def _reach(spark: SparkSession, sf_dir: str, seed: int, outgoing: bool, depth: int | None) -> DataFrame:
     start = spark.createDataFrame([(seed,)], "id long")
-    got = traverse.reach(B.key_edges(spark, sf_dir), start, outgoing, depth)
+    edges = B.key_edges(spark, sf_dir)
+    # Every level reads the edges: derive them once if there may be several.
+    got = traverse.reach(edges if depth == 1 else cut(edges), start, outgoing, depth)
     return got.select("id", F.col("depth").cast("int").alias("depth"))
 
 
@@ -486,10 +488,17 @@ def fnv1a_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", fnv1a("text").alias("hash"))
 
 
+def _source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per file; of repeated rows the one with the largest hash and text. Spread by file."""
+    s = read_table(spark, sf_dir, "source_files")
+    one = s.groupBy("file_id").agg(F.max(F.struct("hash", "lang", "text")).alias("m"))
+    return one.select("file_id", "m.lang", "m.text")
+
+
 @query()
 def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions of every source file, read from its text."""
-    rows = graph.extract_files(B.source_rows(spark, sf_dir).dropDuplicates(["file_id"]))
+    rows = graph.extract_files(_source_files(spark, sf_dir))
     return rows.select("file_id", F.explode(F.arrays_zip("symbols", "containers")).alias("z")).select(
         "file_id", "z.symbols.name", "z.symbols.kind", "z.symbols.start_line", "z.symbols.end_line", F.col("z.containers").alias("container")
     )
@@ -498,9 +507,10 @@ def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def build_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges per repository and kind of the graph built from the source texts."""
-    files = B.source_rows(spark, sf_dir).dropDuplicates(["file_id"])
-    extracts = cut(graph.extract_files(files))
-    built = graph.build(files.drop("text"), extracts)
+    extracts = cut(graph.extract_files(_source_files(spark, sf_dir)))
+    one = F.max(F.struct("repo_id", F.col("rel").alias("path"), "lang")).alias("m")
+    files = cut(read_table(spark, sf_dir, "source_files").groupBy("file_id").agg(one).select("file_id", "m.*"))
+    built = graph.build(files, extracts)
     return built["edges"].groupBy("repo_id", "kind").agg(F.count(F.lit(1)).alias("edges"))
 
 

@@ -69,9 +69,17 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return df
 
 
-def heavy_keys(df: DataFrame, keys: list[str], threshold: int) -> DataFrame:
-    """Keys that occur more than ``threshold`` times; at most ``rows / threshold`` of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > threshold).select(*keys)
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a CPU-bound map over a scan at least one task per core.
+
+    A scan of few splits would run in few tasks; its rows are then dealt out by one
+    round-robin shuffle. A scan with as many splits as cores, as any large one has, is
+    left alone. ``scan`` may filter and project but not shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
 
 
 def stats_join(rows: DataFrame, stats: DataFrame, key: str, weight: str, hot_rows: int = 20_000) -> DataFrame:
