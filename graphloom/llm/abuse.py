@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import lexicon
+from graphloom.runtime import spread
 
 #: Bounds of the sample of reviewed documents that the model is fitted on.
 MAX_TRAIN_DOCS = 6_000
@@ -328,7 +329,7 @@ def score_documents(documents: DataFrame, model: Model, keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*keep, "score"])
 
     kinds = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return documents.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{kinds}, score double")
+    return spread(documents.select(*keep, F.col("text").alias("__text"))).mapInArrow(run, f"{kinds}, score double")
 
 
 def scored(documents: DataFrame, reviews: DataFrame) -> DataFrame:

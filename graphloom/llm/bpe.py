@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import spread
+
 #: Pre-tokens kept with their ids; the table is emptied when it is full.
 MAX_WORDS = 300_000
 
@@ -192,7 +194,7 @@ def encode_documents(
             )
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return spread(documents.select(key, text)).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
 
 def count_tokens(
@@ -209,7 +211,7 @@ def count_tokens(
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
     kinds = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return documents.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{kinds}, n_tokens long")
+    return spread(documents.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, f"{kinds}, n_tokens long")
 
 
 def merges_of(json_path: str) -> list[tuple[str, str]]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import cut, small_side
+from graphloom.runtime import cut, small_side, spread
 
 MIN_SHARED = 400
 MIN_SHARED_TREE = 2
@@ -257,7 +257,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(source_files: DataFrame) -> DataFrame:
     rows = source_files.filter(F.col("file_id").isNotNull()).select("file_id", "repo_id", "rel", "text")
-    return rows.mapInArrow(_features, FEATURES)
+    return spread(rows).mapInArrow(_features, FEATURES)
 
 
 # -- the trees
