@@ -490,8 +490,10 @@ def fnv1a_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per file; of repeated rows the one with the largest hash and text. Spread by file."""
-    s = read_table(spark, sf_dir, "source_files")
-    one = s.groupBy("file_id").agg(F.max(F.struct("hash", "lang", "text")).alias("m"))
+    s = read_table(spark, sf_dir, "source_files").select("file_id", "hash", "lang", "text")
+    # A fixed number of partitions: extraction is bound by CPU, so they must not be merged by size.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    one = s.repartition(parts, "file_id").groupBy("file_id").agg(F.max(F.struct("hash", "lang", "text")).alias("m"))
     return one.select("file_id", "m.lang", "m.text")
 
 
