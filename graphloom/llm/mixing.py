@@ -93,12 +93,12 @@ def _nearest(cells: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", total: int | None = None, seed: int = 17):
-    """(chosen, quotas): chosen has ``sizes`` and repeats > 0; quotas say how much was planned.
+    """(chosen, quotas): chosen has key, source, n_tokens and repeats > 0; quotas say how much was planned.
 
-    ``sizes`` needs the columns ``key``, source and n_tokens and is read several times:
-    pass it materialised.
+    ``sizes`` is read several times: pass it materialised. Its other columns are ignored.
     """
     spark = sizes.sparkSession
+    sizes = sizes.select(key, "source", "n_tokens")
     quotas = plan(sizes, targets, total)
     rows = []
     for q in quotas:

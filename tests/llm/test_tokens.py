@@ -78,7 +78,7 @@ def test_mix(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["a", "b", "c", None, "unlisted"]), rng.randint(0, 50)) for i in range(4000)]
     rows += [(10_000 + i, "small", 10) for i in range(20)]
-    sizes = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long").cache()
+    sizes = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, source string, n_tokens long, want long, t1 string").cache()
     targets = spark.createDataFrame(
         [("a", 0.4, 2), ("b", 0.3, 2), ("c", 0.1, 2), ("small", 0.1, 3), ("absent", 0.1, 4), (None, 0.5, 1), ("a", 0.4, 2)],
         "source string, target_share double, max_repeats int",
