@@ -2,7 +2,7 @@
 
 Three kinds of evidence, from one pass over the texts and one over the trees:
 
-* the comments at the top of a file say that a tool made it, or whose copy it is;
+* the comments at the top or the end of a file say that a tool made it, or whose copy it is;
 * its layout does: code without line structure, numbered members of one shape over and
   over, or nothing but literals;
 * the tree does: third-party folders, and folders (or single files) whose Merkle hash
@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.comments import tail_comments
 from graphloom.runtime import cut, small_side, spread
 
 MIN_SHARED = 400
@@ -37,7 +38,7 @@ MIN_SHARED_TREE = 2
 
 GENERATED, MINIFIED, VENDORED, DATA = 1, 2, 4, 8
 
-# -- the comments at the top
+# -- the comments at the top and the end
 
 _TOOL = re.compile(
     r"@generated\b|<auto-?generated|\bauto-?generated (?:file|code|by|from)"
@@ -62,12 +63,12 @@ _OURS = re.compile(r"contributors of this project|authors of this project", re.I
 _HEAD = re.compile(r"(?:[ \t]*(?://|#|--|;;|%|/\*|\*|<!--)[^\n]*|[ \t]*)(?:\n|\Z)")
 
 
-def head_comments(text: str, most: int = 60) -> list[str]:
+def head_comments(text: str) -> list[str]:
     """Lines of the comments before the first line of code, shebang and all."""
     out: list[str] = []
     inside = False
     at = 0
-    while len(out) < most and at < len(text):
+    while at < len(text):
         end = text.find("\n", at)
         end = len(text) if end < 0 else end
         line = text[at:end].strip()
@@ -86,9 +87,9 @@ def head_comments(text: str, most: int = 60) -> list[str]:
     return out
 
 
-def head_rules(text: str) -> int:
+def comment_rules(rel: str | None, text: str) -> int:
     found = 0
-    for line in head_comments(text):
+    for line in head_comments(text) + tail_comments(rel, text):
         if _TOOL.search(line) or _DONT.search(line):
             found |= GENERATED
         if _COPY.search(line) and not _OURS.search(line):
@@ -216,7 +217,7 @@ def text_rules(rel: str | None, text: str | None) -> int:
     text = text.removeprefix("﻿")
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    found |= head_rules(text)
+    found |= comment_rules(rel, text)
     if is_minified(text, share=0.3 if rel and _MIN_NAME.search(rel) else 0.5):
         found |= MINIFIED
     elif is_data(text):
