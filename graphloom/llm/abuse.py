@@ -59,6 +59,7 @@ _DOTS = re.compile(r"(?<!\w)\.?[\w'@$](?:[._*·•-][\w'-](?!\w)){2,}")
 _TRIPLE = re.compile(r"([^\W\d_])\1{2,}")
 _DOUBLE = re.compile(r"([a-z])\1")
 _CODE = re.compile(r"`[^`\n]*`")
+_PLAIN = re.compile(r"[\"'(*]*[^\W\d_][^\W_]*(?:['’-][^\W_]+)*[\"')*.,:;!?…]*")
 _INNER = re.compile(r"(?<=[^\W\d_])_(?=[^\W\d_])")
 _BREAK = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n+|(?<=[.!?])(?=[A-Z])")
 _WORD = re.compile(r"[a-z0-9@$]+(?:[*]+[a-z]?)*|[*]{3,}")
@@ -73,10 +74,20 @@ def fold(text: str) -> str:
     return _INVISIBLE.sub("", text).translate(_LOOKALIKE)
 
 
+def is_prose(code: str) -> bool:
+    """Whether what stands between backticks reads as words: three at least, and half of it."""
+    parts = code.split()
+    return len(parts) > 2 and sum(_PLAIN.fullmatch(x) is not None for x in parts) >= max(3, len(parts) / 2)
+
+
 def segments(text: str) -> list[str]:
-    """Folded sentences and lines of a text, without code names."""
+    """Folded sentences and lines of a text, without code names.
+
+    Prose between backticks stands for itself, after the rest.
+    """
     text = fold(_INVISIBLE.sub("", text) if not text.isascii() else text)
-    text = _CODE.sub(" ", text)
+    quoted = [x for m in _CODE.findall(text) if is_prose(x := m[1:-1])] if "`" in text else []
+    text = "\n".join([_CODE.sub(" ", text), *quoted])
     text = _BLANKS.sub(lambda m: m.group().replace(" ", ""), text)
     text = _DOTS.sub(lambda m: re.sub(r"[._*·•]", "", m.group()), text)
     return [s for s in _BREAK.split(text) if s and not s.isspace()]

@@ -1,0 +1,27 @@
+"""Abuse between backticks; names and literals there."""
+
+import pytest
+
+from graphloom.llm import abuse
+
+
+@pytest.fixture(scope="module")
+def model():
+    return abuse.fit([])
+
+
+def test_prose_between_backticks(model):
+    for t in (
+        "They wrote `you are a worthless piece of trash` in the review.", "The ` key is stuck. Shut up, you filthy liar. So is ` too.",
+        "Reply was `yоu 5tup1d 1d10t, get lost` again.", "`Refugees are vermin.`",
+    ):
+        assert model.score(t, {}) >= abuse.THRESHOLD, t
+    for t in (
+        "The filter drops `idiot` and `trash`.", "Call `kill_child(parent)` here.", "Run `git push origin main` first.",
+        "See `x = {'stupid': 1, 'idiot': 2}` there.", "Use `kill the child process` as the title.",
+    ):
+        assert model.score(t, {}) < abuse.THRESHOLD, t
+
+
+def test_the_rest_is_as_without():
+    assert abuse.segments("He wrote `you are an idiot` to me. Use `x.y`.\nEnd") == ["he wrote   to me.", "use  .", "end", "you are an idiot"]
