@@ -247,6 +247,40 @@ class Ecma:
             i = m.end()
         return "TPL"
 
+    def _deep_template(self, text: str, start: int) -> int:
+        """End of the template that begins at ``start``, by a stack of open substitutions; -1 if it is none."""
+        open_, i, n = [], start + 1, len(text)
+        while i < n:
+            c = text[i]
+            if c == "`":
+                i += 1
+                if not open_:
+                    return i
+                state = open_.pop()["TPL"]
+                if not state.alive:
+                    return -1
+            elif c == "$" and text.startswith("{", i + 1):
+                state, i = self.machine.start("expr"), i + 2
+            else:
+                i += 2 if c == "\\" else 1
+                continue
+            while True:
+                m = TOKEN.match(text, i)
+                if not m:
+                    return -1
+                i, body = m.end(), m.group(1).lstrip()
+                if body == "`":
+                    open_.append(state)
+                    break
+                if body == "}" and not state["}"].alive:
+                    if not state.complete:
+                        return -1
+                    break
+                state = state[self.kinds[m.group(1)]]
+                if not state.alive:
+                    return -1
+        return -1
+
     def _scan(self, text: str):
         """Token by token, asking the state whether a regular expression or JSX text can come."""
         state, at, n = self.machine.start(), 0, len(text)
@@ -265,7 +299,12 @@ class Ecma:
             token, end = m.group(1), m.end()
             kind = self.kinds[token]
             body = token.lstrip()
-            if self.jsx or kind.__class__ is tuple and len(kind) > 1:
+            if body == "`":
+                # Nested deeper than the pattern, or broken.
+                r = self._deep_template(text, end - 1)
+                if r > 0:
+                    kind, end = ("TPL",) if token[0] == "\n" else "TPL", r
+            elif self.jsx or kind.__class__ is tuple and len(kind) > 1:
                 # A composite is taken apart; the state decides what a slash is.
                 c = body[0]
                 if kind.__class__ is tuple and len(kind) > 1:

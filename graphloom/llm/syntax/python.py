@@ -94,6 +94,10 @@ TOKEN = re.compile(
     rf"(?:[ \t\f]|\\\n)*+((?:\n\s*+)?(?:{_PLAIN}|{_FMT}|[^\W\d]\w*+|{_NUM}|#[^\n]*+|{_OP}|\S))", re.S
 )
 _STRING = re.compile(rf"(?:{_PLAIN})\Z|(?:{_FMT})\Z", re.S)
+_FMT_OPEN = re.compile(r"(?:[fF][rR]?|[rR][fF])(\"\"\"|\'\'\'|\"|\')")
+_STR = re.compile(_PLAIN, re.S)
+_NAME = re.compile(r"[^\W\d]\w*|\d\w*")
+_CONVERSION = re.compile(r"\s*![^\W\d]\w*\s*(?=[:}])")
 _CMP = {"==", "!=", "<", ">", "<=", ">="}
 _AUG = {"+=", "-=", "*=", "/=", "//=", "%=", "@=", "&=", "|=", "^=", ">>=", "<<=", "**="}
 _ARITH = {"//", "%", "&", "^", "<<", ">>"}
@@ -176,15 +180,96 @@ class Python:
                 inner = (body[i + 1:cut] if cut > 0 else body[i + 1:end]).rstrip()
                 if inner.endswith("=") and inner[-2:-1] not in ("=", "!", "<", ">"):
                     inner = inner[:-1]
-                state = self.machine.start("small")
-                for t in TOKEN.findall("(" + inner + ")"):
-                    k = self.kinds[t]
-                    state = state[k[1] if k.__class__ is tuple else k]
-                if not state.complete:
+                if not self._expression(inner):
                     return False
                 i = end + 1
         return True
 
+    def _expression(self, inner: str) -> bool:
+        state = self.machine.start("small")
+        for t in TOKEN.findall("(" + inner + ")"):
+            k = self.kinds[t]
+            state = state[k[1] if k.__class__ is tuple else k]
+        return state.complete
+
+    def _deep_end(self, text: str, m: re.Match) -> int:
+        """End of the formatted string that ``m`` opens, by a stack of strings, fields and formats; -1 if it is none.
+
+        A field keeps the pieces of its expression, with an empty string for each formatted one.
+        """
+        stack: list[list] = [["string", m.group(1)]]
+        i, n = m.end(), len(text)
+        while i < n:
+            top, c = stack[-1], text[i]
+            if top[0] == "string":
+                quote = top[1]
+                if c == "\\" or text.startswith(("{{", "}}"), i):
+                    i += 2
+                elif text.startswith(quote, i):
+                    i += len(quote)
+                    stack.pop()
+                    if not stack:
+                        return i
+                    stack[-1][2].append("''")
+                elif c == "}" or c == "\n" and len(quote) == 1:
+                    return -1
+                else:
+                    i += 1
+                    if c == "{":
+                        stack.append(["field", 0, []])
+            elif top[0] == "format":
+                i += 1
+                if c == "{":
+                    stack.append(["field", 0, []])
+                elif c == "}":
+                    stack.pop()
+                elif c == "\n" or c in "\"'" and top[1] == c:
+                    return -1
+            else:
+                pieces = top[2]
+                conversion = _CONVERSION.match(text, i) if not top[1] else None
+                if conversion or not top[1] and c in ":}":
+                    inner = "".join(pieces).rstrip()
+                    if inner.endswith("=") and inner[-2:-1] not in ("=", "!", "<", ">"):
+                        inner = inner[:-1]
+                    if not self._expression(inner):
+                        return -1
+                    i = conversion.end() if conversion else i
+                    stack.pop()
+                    if text[i] == ":":
+                        stack.append(["format", next(x[1] for x in reversed(stack) if x[0] == "string")])
+                    i += 1
+                    continue
+                inside = _FMT_OPEN.match(text, i)
+                if inside:
+                    stack.append(["string", inside.group(1)])
+                    i = inside.end()
+                    continue
+                word = _STR.match(text, i) or _NAME.match(text, i)
+                if word:
+                    pieces.append(word.group())
+                    i = word.end()
+                    continue
+                top[1] += (c in "([{") - (c in ")]}")
+                pieces.append(c)
+                i += 1
+        return -1
+
+    def _flat(self, text: str) -> str:
+        """The text with empty strings for formatted ones that the pattern of tokens is not exact for."""
+        out, at, done = [], 0, 0
+        while m := TOKEN.match(text, at):
+            at = m.end()
+            start = at - len(m.group(1).lstrip())
+            opened = _FMT_OPEN.match(text, start)
+            if opened and self.kinds[m.group(1).lstrip()] != "STR":
+                end = self._deep_end(text, opened)
+                if end > 0:
+                    lines = text.count("\n", start, end)
+                    out += [text[done:start], "''" if not lines else "\"\"\"" + "\n" * lines + "\"\"\""]
+                    at = done = end
+        return "".join([*out, text[done:]])
+
     def _first_failure(self, text: str):
         row, indents, started = self.machine.start(), [0], False
         for m in TOKEN.finditer("\n" + text):
@@ -218,6 +303,12 @@ class Python:
         return out
 
     def failure(self, text: str):
+        found = self._failure(text)
+        if found and _FMT_OPEN.search(text) and (flat := self._flat(text)) != text:
+            return self._failure(flat)
+        return found
+
+    def _failure(self, text: str):
         row, kinds, indents, started = self.machine.start(), self.kinds, [0], False
         for t in TOKEN.findall("\n" + text):
             k = kinds[t]

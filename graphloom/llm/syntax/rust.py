@@ -96,6 +96,10 @@ TOKEN = re.compile(
     rf"\s*+({_RAW}|[bc]?\"(?:[^\"\\]|\\[\s\S])*+\"|b?'(?:[^'\\\n]|\\(?:x[\da-fA-F]{{2}}|u\{{[\da-fA-F_]+\}}|[^\n]))'"
     rf"|'[^\W\d]\w*+(?!')|r\#[^\W\d]\w*+|[^\W\d]\w*+|{_NUM}|//[^\n]*+|{_BLOCK}|{_OP}|\S)"
 )
+#: What the patterns above are not exact for: comments in comments, and raw strings with more marks.
+_DEEP = re.compile(r"/\*(?:[^*/]|\*(?!/)|/(?!\*))*+/\*|r#####+\"")
+_DEEP_RAW = re.compile(r"[bc]?r(#{5,})\"")
+_ENDS = re.compile(r"/\*|\*/")
 _BIN = {"/", "%", "^", "==", "!=", "<=", "+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "<<=", ">>="}
 
 
@@ -119,10 +123,34 @@ class Rust:
             return token if token in _KEYWORDS or token in _SOFT or token == "_" else "NAME"
         return token if re.fullmatch(_OP, token) else "BAD"
 
+    def _scan(self, text: str):
+        """Token by token, comments by their depth and raw strings by their number of marks."""
+        row, at = self.machine.start(), 0
+        while m := TOKEN.match(text, at):
+            start, at = m.start(1), m.end()
+            kind = self.kinds[m.group(1)]
+            raw = _DEEP_RAW.match(text, start)
+            if raw:
+                end = text.find('"' + raw.group(1), raw.end())
+                kind, at = ("STR", end + 1 + len(raw.group(1))) if end >= 0 else ("BAD", at)
+            elif text.startswith("/*", start):
+                depth = 0
+                for e in _ENDS.finditer(text, start):
+                    depth += 1 if e.group() == "/*" else -1
+                    if not depth:
+                        break
+                kind, at = (None, e.end()) if not depth else ("BAD", at)
+            row = row[kind]
+            if not row.alive:
+                return line_of(text, at - 1), text[start:at][:80], "token"
+        return None if row.complete else (line_of(text, len(text.rstrip())), "", "end")
+
     def failure(self, text: str):
         if text.startswith("#!") and not text.startswith("#!["):
             text = "//" + text
         row, kinds = self.machine.start(), self.kinds
+        if _DEEP.search(text):
+            return self._scan(text)
         for t in TOKEN.findall(text):
             row = row[kinds[t]]
         if row.complete:
