@@ -398,7 +398,10 @@ def import_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     select repo_id, spec, arg_min(file_id, struct_pack(p := path, i := file_id)) as anchor, count(*) as importers from outside group by 1, 2""")
 def import_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites, files = _import_sites(spark, sf_dir)
-    sites = cut(sites.filter(F.col("lang").isin(*_JS_ONLY)))
+    return _outside(cut(sites.filter(F.col("lang").isin(*_JS_ONLY))), files)
+
+
+def _outside(sites: DataFrame, files: DataFrame) -> DataFrame:
     hits = graph.first_match(sites, files)
     outside = sites.join(hits, ["repo_id", "file_id", "spec"], "left_anti")
     return outside.groupBy("repo_id", "spec").agg(
@@ -406,6 +409,20 @@ def import_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As import_first_match, for the sites of all languages."""
+    sites, files = _import_sites(spark, sf_dir)
+    return graph.first_match(sites, files).select("file_id", "spec", "target")
+
+
+@query()
+def import_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As import_external, for the sites of all languages."""
+    sites, files = _import_sites(spark, sf_dir)
+    return _outside(cut(sites), files)
+
+
 @query(f"with {_EDGES} select kind, count(*) as edges from edges group by 1")
 def edges_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.key_edges(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("edges"))
