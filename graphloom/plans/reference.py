@@ -179,6 +179,25 @@ def workspace_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""with base as ({_ask(_SEARCH_DOCS, 'bind catalog shard')}), d as (select distinct id, name, repo_id,
+      concat_ws('/', cast(repo_id as varchar), kind) as path from search_docs),
+    places as (select repo_id, row_number() over (order by coalesce(label, ''), repo_id) as place
+               from (select repo_id, max(label) as label from repos where repo_id is not null group by 1)),
+    k as (select id, repo_id, row_number() over (partition by repo_id order by score desc, path, id) as turn from base join d using (id))
+    select id, repo_id, row_number() over (order by turn, place) as rank
+    from k join places using (repo_id) qualify rank <= 12""")
+def workspace_round_robin_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All repositories, by label."""
+    ranked = retrieval.rank(_search_docs(spark, sf_dir), "bind catalog shard", limit=None)
+    ranked = ranked.withColumn("score", F.round("score", 6)).withColumn("repo", F.substring_index("path", "/", 1))
+    repos = read_table(spark, sf_dir, "repos").filter(F.col("repo_id").isNotNull()).groupBy("repo_id").agg(F.max("label").alias("label"))
+    order = [str(r[0]) for r in repos.orderBy(F.coalesce("label", F.lit("")), "repo_id").select("repo_id").collect()]
+    ranked = ranked.filter(F.col("repo").isin(*order))
+    return retrieval.interleave(ranked, "repo", order, 12).select(
+        "id", F.col("repo").cast("long").alias("repo_id"), F.col("rank").cast("long").alias("rank")
+    )
+
+
 # -- search
 
 _LINES = """
