@@ -474,6 +474,20 @@ def freshness_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return freshness.diff(stored, live)
 
 
+@query(f"""with {_FILES}, stored as (
+      select file_id, max(struct_pack(a := extracted_at, h := lower(x.hash))).h as hash from file_extracts x join
+        (select distinct run_id from index_runs where status = 'ok') r using (run_id)
+      where error is null and x.hash is not null and extracted_at is not null and file_id is not null group by 1)
+    select coalesce(s.file_id, l.file_id) as file_id, case when s.file_id is null then 'added' when l.file_id is null then 'deleted' else 'modified' end as change
+    from stored s full join cur l on s.file_id = l.file_id where s.hash is distinct from l.hash""")
+def freshness_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files as last scanned against their last successful extraction."""
+    ok = read_table(spark, sf_dir, "index_runs").filter("status = 'ok'").select("run_id").distinct()
+    x = read_table(spark, sf_dir, "file_extracts").filter("error is null and hash is not null and extracted_at is not null and file_id is not null")
+    last = x.join(ok, "run_id", "left_semi").groupBy("file_id").agg(F.max(F.struct("extracted_at", F.lower("hash").alias("hash"))).alias("m"))
+    return freshness.diff(last.select("file_id", "m.hash"), B.current_files(spark, sf_dir), ("file_id",))
+
+
 @query(f"with {_FILES} select file_id, path from cur where path = 'src' or starts_with(path, 'src/')")
 def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.current_files(spark, sf_dir).filter(T.path_in_scope(F.col("path"), "/src/")).select("file_id", "path")
