@@ -6,7 +6,8 @@ consecutive bitmaps give the added keys by ``new AND NOT old``, the deleted ones
 ``old AND NOT new`` and the common ones by ``AND``, among which the aligned vectors
 show the modified ones. Blocks are chosen by a hash of the key, so a group that holds a
 third of all rows is spread over as many tasks as its rows need, and all snapshots of
-one key meet in one block: one shuffle in all.
+one key meet in one block. Repeated rows of a key in a snapshot are taken together before
+that, in part before any shuffle, so a path that is written very often makes no large block.
 
 Nulls and edge cases
 * rows with a null group, snapshot number or key are left out;
@@ -140,6 +141,10 @@ def changes(snapshots: DataFrame, deliveries: DataFrame, blocks: int | None = No
         )
         .filter(F.col("path").isNotNull() & F.col("snapshot_no").isNotNull() & F.col("repo_id").isNotNull())
         .join(order, ["repo_id", "snapshot_no"])
+        # Repeated rows go before the blocks, in part before the shuffle: a block has one row per key and snapshot.
+        .groupBy("repo_id", "snapshot_no", "path", "rank", "next_no")
+        .agg(F.max(F.struct("at", "value")).alias("m"))
+        .select("repo_id", "snapshot_no", "path", "rank", "next_no", "m.at", "m.value")
         .withColumn("block", F.pmod(F.xxhash64("path"), F.lit(blocks)))
     )
     return rows.groupBy("repo_id", "block").applyInPandas(_block_changes, CHANGES)
