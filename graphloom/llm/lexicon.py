@@ -1,367 +1,492 @@
-"""Word classes and labelled sentence patterns for the abuse classifier.
+"""Word classes and labelled phrase patterns for the abuse classifier.
 
-Offensive words are listed because a detector has to know them. Fixed values: the
-classes hold usual words of English, German, French and Spanish in plain spelling.
+Offensive words are listed because a detector has to know them. Everything here is general
+knowledge of four languages: ordinary dictionary words by class, and short phrases built
+from them by slots. None of it is taken from any corpus; a test holds the phrases against
+the supplied documents and fails if one occurs there. What is special to a corpus has to
+come from its reviews.
 """
 
+#: Usual words of English, German, French and Spanish in plain spelling.
 CLASSES = {
-    "YOU": """you your yours yourself u ur youre ya du dich dir dein deine deinen ihr euch euer tu te toi ton tes vous
-        votre vos ti tuyo usted eres""",
-    "SELF": "i me my mine myself im ive we our us ich mich mein meine wir je moi mon mes nous yo mi mis",
-    "INSULT": """idiot idiots moron morons imbecile cretin dumbass asshole arsehole bastard bitch scumbag scum loser clown
-        halfwit dimwit nitwit troll liar degenerate fool jerk dickhead prick wanker twat cunt slut whore coward retard
-        psycho swine creep maggot filth pig monkey rat trash garbage vollidiot trottel depp arschloch drecksack versager
-        wichser hurensohn missgeburt schlampe dummkopf penner abschaum connard connasse cretin cretins abruti imbecile
-        salaud salope minable ordure debile bouffon batard raclure idiota imbecil gilipollas cabron basura payaso puta
-        pendejo escoria mierdoso dumbo airhead blockhead numbskull simpleton douchebag shithead
-        cow hack parasite weasel worm leech slob freak lowlife weirdo goat donkey hyena toad crybaby ignoramus""",
+    "YOU": """you your yours yourself u ur youre youll ya thou du dich dir dein deine deinen deiner ihr euch euer tu te toi
+        ton ta tes vous votre vos ti tuyo usted ustedes eres""",
+    "SELF": "i me my mine myself im ive ill we our us ourselves ich mich mir mein meine wir uns je moi mon mes nous yo mi mis",
+    "INSULT": """idiot moron imbecile cretin dumbass jackass asshole arsehole bastard bitch scumbag scum loser clown halfwit
+        dimwit nitwit fool jerk dickhead prick wanker twat cunt slut whore coward retard psycho swine creep maggot pig
+        troll liar degenerate trash garbage douchebag douche shithead simpleton dunce dolt oaf buffoon dope dork blockhead
+        numbskull airhead lowlife vermin parasite leech worm rat snake cockroach weasel slob freak weirdo crybaby snowflake
+        motherfucker tosser git muppet bellend plonker pillock idiotin vollidiot trottel depp arschloch drecksack versager
+        wichser hurensohn missgeburt schlampe dummkopf penner abschaum schwein drecksau spast mistkerl idiote connard
+        connasse abruti imbecile salaud salope enfoire batard ordure debile bouffon raclure encule cretin idiota imbecil
+        gilipollas cabron basura payaso puta hijoputa pendejo escoria mierdoso tarado subnormal estupida""",
     "DEROG": """stupid dumb pathetic brainless worthless useless filthy ugly miserable spineless retarded disgusting rotten
-        fucking bloody drunk damn lousy gutless clueless mindless vile nasty dumm nutzlos nutzloser erbarmlich hasslich
-        dreckig widerlich pauvre nul stupide sale inutile degoutant minable estupido inutil asqueroso tonto ridiculo""",
-    "GROUP": """women woman men girls immigrants immigrant refugees refugee foreigners foreigner migrants gay gays lesbians
-        trans transgender jews muslims christians hindus blacks whites asians mexicans africans arabs elderly disabled
-        faith auslander fluchtlinge frauen juden muslime schwule etrangers immigres femmes juifs musulmans refugies
-        extranjeros inmigrantes mujeres judios musulmanes refugiados""",
-    "DEHUM": """vermin rats cockroaches roaches plague pest disease cancer breed breeding subhuman animals parasites crawl
-        crawled infest inferior deport sink lazy begging thieves stolen stinks ungeziefer pest ratten vermine racaille
-        peste rats plaga escoria ratas cucarachas""",
-    "SEX": """nude nudes naked porn porno xxx sex sexy blowjob horny moan lap panties undress spread cock dick pussy tits
-        cum boobs cam cams orgasm masturbate stripper escort erotic fetish nacktfotos nackt geil nue nues sexe desnuda
-        desnudas desnudo sexo bend thighs mouth lick suck wet came kinky hookup""",
-    "HARM": """kill killed die dies dead death murder stab shoot burn hospital knife bullet skull break fingers teeth bones
-        throat choke strangle hang rope roof jump drown river grave bury punch beat smash hurt breathing vanish vanished
-        suffer cripple erschiessen toten schadel eingeschlagen umbringen sterben verrecken casser dents tuer creve
-        crever mourir gueule partir cara matar morir romper sangre""",
-    "CURSE": "fuck shit shitty crap hell damn merde mierda scheisse mist putain joder sacre verdammt hostia",
-    "RULE": """removed remove removes rule rules policy filter filters conduct blocklist banned moderation moderators flag
-        flagged words list hide supprimes supprime entfernen entfernt borran borra reglas regles regeln report contains
-        class name accident""",
-    "TECH": """process thread child parent server domain test collector node installer signal daemon job worker cache branch
+        fucking bloody damn lousy gutless clueless mindless vile nasty fat smelly incompetent hopeless ridiculous repulsive
+        inferior laughable moronic idiotic dumm nutzlos erbarmlich hasslich dreckig widerlich blod verdammt armselig
+        pauvre nul stupide sale inutile degoutant minable moche estupido inutil asqueroso tonto ridiculo feo patetico""",
+    "GROUP": """women woman men girls immigrants immigrant refugees refugee foreigners foreigner migrants migrant gays
+        gay lesbians lesbian homosexuals trans transgender jews jew muslims muslim christians hindus blacks whites asians
+        mexicans africans arabs gypsies elderly disabled cripples faith religion race ethnicity nationality auslander
+        fluchtlinge frauen juden muslime schwule lesben etrangers immigres femmes juifs musulmans refugies noirs arabes
+        extranjeros inmigrantes mujeres judios musulmanes refugiados negros gitanos""",
+    "DEHUM": """vermin rats cockroaches roaches plague pest disease cancer breed breeding subhuman animals parasites infest
+        infestation inferior deport deported exterminate exterminated invaders savages criminals thieves rapists
+        terrorists ungeziefer pest ratten parasiten untermenschen abschieben racaille peste cafards sauvages plaga escoria
+        ratas cucarachas salvajes""",
+    "SEX": """nude nudes naked porn porno xxx sex sexy blowjob horny moan moaning lap panties bra undress cock dick pussy
+        tits boobs ass cum cumming cam cams camgirl orgasm masturbate masturbating stripper escort escorts erotic fetish
+        kinky hookup milf threesome anal oral thighs nipples nacktfotos nackt geil titten ficken nu nue nues sexe baise
+        seins nichons desnuda desnudas desnudo sexo follar tetas polla""",
+    "HARM": """kill killed killing die dies dying dead death murder murdered stab stabbed shoot shot burn burned hospital
+        knife bullet skull throat neck strangle strangled hang hanged rope lynch drown drowned grave bury buried punch
+        beat beaten smash hurt bleed bleeding suffer cripple crippled torture tortured rape raped suicide cancer
+        umbringen umgebracht toten getotet sterben stirb verrecken erschiessen erschossen schlagen verprugeln tuer tue
+        creve crever mourir meurs frapper egorger matar mato morir muere muerto golpear degollar""",
+    "BODY": """face teeth jaw bones legs arms fingers nose head brain blood mouth eyes fresse zahne knochen kopf schadel
+        gueule dents tete os cara dientes huesos cabeza boca""",
+    "CURSE": """fuck fucked shit shitty crap hell damn merde mierda scheisse scheiss mist putain joder sacre verdammt hostia
+        bordel coño""",
+    "RULE": """removed remove removes rule rules policy filter filters conduct blocklist blacklist wordlist banned ban
+        moderation moderator moderators flag flagged flags profanity slur slurs words list hide hidden report reported
+        reports contains reject rejects rejected regeln regel filtert entfernen entfernt gesperrt supprime supprimes
+        filtre reglement interdit borran borra reglas regla filtro prohibido""",
+    "TECH": """process thread child parent server domain test collector node signal daemon job worker cache branch code
+        file function method class module script build commit merge parser query index patch release bug error message
         proceso hijo processus enfant kindprozess elternprozess prozess naming master slave replica endpoint operator
-        path memory alerts backlog diff entries""",
-    "WARM": "thanks please great nice welcome friend love congrats well good sorry noise fault bad",
+        memory schema table column key value string loop compiler token request response""",
+    "WARM": """thanks thank please great nice welcome friend love congrats congratulations well good sorry appreciate
+        appreciated awesome danke bitte merci gracias""",
 }
 
-#: Identity terms that are exchanged for each other (per language).
+#: Identity terms that are exchanged for each other, of each language.
 IDENTITY = {
-    "en": ["women", "men", "immigrants", "refugees", "foreigners", "gay people", "trans people", "old people",
-           "people of that faith", "jews", "muslims", "christians", "black people", "asian people", "disabled people",
-           "the northerners", "islanders", "nomads", "our neighbours"],
-    "de": ["Ausländer", "Flüchtlinge", "Frauen", "Juden", "Muslime", "alte Leute"],
-    "fr": ["étrangers", "immigrés", "femmes", "juifs", "musulmans", "vieux"],
-    "es": ["extranjeros", "inmigrantes", "mujeres", "judíos", "musulmanes", "viejos"],
-}
+    "en": ["women", "men", "immigrants", "refugees", "foreigners", "jews", "muslims", "christians", "asians", "africans",
+           "mexicans", "gays", "lesbians", "migrants", "hindus"],
+    "de": ["Ausländer", "Flüchtlinge", "Frauen", "Juden", "Muslime", "Schwule"],
+    "fr": ["étrangers", "immigrés", "femmes", "juifs", "musulmans", "réfugiés"],
+    "es": ["extranjeros", "inmigrantes", "mujeres", "judíos", "musulmanes", "refugiados"],
+}
 
 SLOTS = {
-    "ins": ["idiot", "moron", "imbecile", "dumbass", "asshole", "scumbag", "loser", "clown", "halfwit", "dimwit", "liar",
-            "troll", "coward", "bastard", "degenerate", "rat", "piece of trash", "piece of garbage", "waste of space", "waste of oxygen"],
-    "adj": ["pathetic", "stupid", "brainless", "worthless", "useless", "filthy", "ugly", "miserable", "spineless", "damn",
-            "fucking", "retarded", "disgusting", "rotten"],
-    "thing": ["parser", "cache", "build", "commit", "error message", "installer", "script", "test", "query", "graph", "patch",
-              "module", "release", "index", "schema"],
-    "verb": ["merge", "sort", "scan", "write", "review", "resolve", "push", "index", "split"],
-    "dins": ["Idiot", "Vollidiot", "Trottel", "Depp", "Arschloch", "Drecksack", "Versager"],
-    "fins": ["connard", "crétin", "abruti", "imbécile", "minable", "débile"],
-    "sins": ["imbécil", "idiota", "gilipollas", "payaso", "inútil", "basura"],
-    "name": ["alex", "dave99", "the-maintainer", "mira_k", "bot-helper"],
+    "ins": """idiot moron imbecile cretin dumbass jackass asshole bastard bitch scumbag loser clown halfwit dimwit fool jerk
+        dickhead prick wanker coward retard creep pig liar parasite worm rat degenerate dunce""".split(),
+    "inss": "idiots morons imbeciles assholes bastards losers clowns fools jerks cowards pigs liars parasites".split(),
+    "adj": """stupid dumb pathetic brainless worthless useless filthy ugly miserable spineless fucking disgusting rotten
+        clueless lousy retarded""".split(),
+    "harm": "kill hurt stab shoot strangle beat punch burn hang murder drown cripple".split(),
+    "harmed": "killed hurt stabbed shot strangled beaten punched burned hanged murdered drowned".split(),
+    "body": "face teeth jaw bones legs nose skull neck".split(),
+    "dehum": "vermin parasites animals rats cockroaches subhuman savages criminals thieves cancer filth".split(),
+    "sx": "tits ass pussy cock dick boobs".split(),
+    "porn": "porn xxx sex nude naked erotic".split(),
+    "thing": "parser cache build commit script test query graph patch module release index schema server branch loader".split(),
+    "verb": "merge sort scan write review resolve push index split read parse".split(),
+    "who": "he she they alex sam the_author the_maintainer that_guy".replace("_", "-").split(),
+    "dins": "Idiot Vollidiot Trottel Depp Arschloch Drecksack Versager Wichser Hurensohn".split(),
+    "fins": "connard crétin abruti imbécile minable débile salaud enfoiré".split(),
+    "sins": "imbécil idiota gilipollas payaso inútil basura cabrón pendejo".split(),
 }
 
-#: Patterns in which a person is insulted, threatened or wished harm.
+#: A person is insulted, threatened or wished harm.
 ABUSIVE = """
+you {ins}
 you {adj} {ins}
-you are a {adj} {ins}
-you are a {ins} and always were
-{name} is a {adj} {ins} and always was
-{name}, you {adj} {ins}, learn to read
-only a {ins} would {verb} the {thing} twice
-everybody here knows {name} is a {ins}
-did your mother drop you on the head, {name}
-were you born stupid or did you practise, {name}
-I have never met such a {adj} {adj} {ins}
-what kind of {adj} {ins} writes a {thing} like that
-what kind of {ins} writes a {thing} like that
-what a {ins} you are
-congratulations, you broke the {thing} again, {adj} {ins}
-shut up, you {adj} {ins}, nobody asked you
-get lost, you {adj} {ins}
-screw you and your {thing}
-fuck you {name}, fuck your {thing} and fuck your review
-go to hell, {ins}
-go back to primary school, {ins}
-eat dirt, {ins}
-crawl back under your rock, {name}
-your brain is as empty as this {thing} you {ins}
-this {thing} stinks like its author, a {adj} {ins}
-I have never met such a {adj} {ins}
-{name} should be ashamed to show that ugly face in a meeting
-you {verb} like a drunk monkey and you smell like one
-if I smelled like you I would also hide behind a keyboard
-no wonder nobody likes you
-nobody likes you and nobody ever will
-nobody would miss you, not even your mother
-nobody would notice if you vanished
-even your mother is ashamed of you
-you are too stupid to {verb} a {thing}
-you are a disgrace, quit and never come back
-your face makes me sick
-people like you should not be allowed near a {thing}
-I will break your fingers
-push that again and I will break your legs
-next time we meet I'll put you in hospital
-I will find where you live
-I will find where your kids go to school
-I know where you live, {name}
-I know which door you leave by, {name}
-keep talking and you'll be found in the river
-keep talking and I will shut your mouth for good
-watch your back on the way home
-someone should set your house on fire with you inside it
-someone should beat you until you stop moving
-I hope you get run over
-I hope whatever you love is taken from you slowly
-I hope you die alone
-do everybody a favour and never wake up
-do us all a favour and kill yourself
-kill yourself
-go die in a fire
-the world gets better on the day you stop breathing
-the world would be better without you
-you should try the roof of the office, one step is enough
-you should jump off a bridge
-you deserve a bullet
-I'd love to watch you bleed
-if being dumb hurt, {name} would scream all day
-{name} is so stupid it must hurt
-we would all celebrate if a truck hit {name}
-I'd throw a party if a bus ran over {name}
+you are {adj}
+you are a {ins}
+you're such a {ins}
+you're a {adj} {adj} {ins}
+you absolute {ins}
+you complete and utter {ins}
+{who} is {adj}
+{who} is a {ins}
+{who} is a {adj} {ins}
+{who} is such a {ins}
+bunch of {inss}
+you {inss}
+you're all {inss}
+they are {adj} {inss}
+hey {ins}
+{adj} {ins}
+look at this {adj} {ins}
+what an {ins}
+listen you {ins}
+ignore that {ins}
+fire that {ins}
+stfu {ins}
+gtfo {ins}
+fuck you
+fuck off {ins}
+screw you {ins}
+piss off {ins}
+eat shit {ins}
+suck it {ins}
+kys
+just {harm} yourself
+please die
+drop dead {ins}
+rot in hell
+burn in hell
+i hate you
+i despise you {who}
+i'll {harm} you
+i will {harm} you
+i'm going to {harm} you
+gonna {harm} you
+we will {harm} your family
+i'll {harm} you in your sleep
+i'll smash your {body}
+i'll break your {body}
+i'll kick your {body} in
+wanna {harm} {who}
+someone {harm} {who}
+you should be {harmed}
+you will be {harmed}
+{who} should be {harmed}
+{who} deserves to be {harmed}
+hope you get {harmed}
+hope {who} dies
+wish you were dead
+you're dead meat
+your {body} is {adj}
+your ugly {body}
+your {adj} {body}
+your mom is a {ins}
+your {adj} mother
+no brain {ins}
+braindead {ins}
+brain of a {ins}
+smells like a {ins}
+waste of skin
+waste of air
+you make me puke
+nobody wants you, {ins}
+too {adj} to breathe
+you're {adj} and you know it
 """
 
 ABUSIVE_OTHER = """
-du bist ein nutzloser {dins}
 du {dins}
-was für ein {dins} muss man sein, um so zu antworten
-halt die Fresse, {name}, du {dins}
-halt die Klappe, du {dins}
-so dumm wie du ist hier keiner
-welcher {dins} hat das geschrieben
-dir gehört der Schädel eingeschlagen
-ich schlag dir die Zähne ein
-ich weiß, wo du wohnst
-geh sterben, du {dins}
-verpiss dich, {name}
-quel {fins} a écrit ça
-tu n'es qu'un pauvre {fins}
-ferme ta gueule, {name}, espèce de {fins}
-ta gueule, {fins}
-va te faire foutre, {name}
-je vais te casser les dents à la sortie
-je sais où tu habites
-crève, {fins}
-tu devrais crever
-tu es trop bête pour ce projet
-qué asco de {sins}, no sirves para nada
+du bist ein {dins}
+du bist so dumm
+ihr seid alle {dins}en
+so ein {dins}
+er ist ein {dins}
+dieser {dins}
+du dumme Sau
+fick dich
+leck mich, {dins}
+Fresse, {dins}
+ich bring dich um
+ich mach dich kalt
+ich schlage dich tot
+ich stech dich ab
+man sollte dich erschießen
+stirb, {dins}
+verrecke
+hoffentlich stirbst du
+du bist hässlich
+dein hässliches Gesicht
+tu es un {fins}
+espèce de {fins}
+sale {fins}
+quel {fins}
+c'est un {fins}
+pauvre {fins}
+bande de {fins}s
+nique ta mère
+va crever
+je vais te tuer
+je vais te frapper
+je te casse la gueule
+tu vas mourir
+tu mérites de mourir
+ton sale visage
+tu es moche
+eres {sins}
 eres un {sins}
-cállate, {name}, pedazo de {sins}
-cállate, {sins}
-vete a la mierda, {name}
-te voy a partir la cara cuando salgas
-te voy a matar
-ojalá te mueras
-sé dónde vives
-no sirves para nada, {sins}
+pedazo de {sins}
+maldito {sins}
+es un {sins}
+qué {sins}
+hijo de puta
+puto {sins}
+te voy a golpear
+voy a matarte
+te rompo los huesos
+muérete, {sins}
+mereces morir
+das asco
+eres feo
+tu cara de {sins}
 """
 
+#: A group of people is degraded or attacked.
 HATEFUL = """
-{group} are vermin and have no place in this project
-{group} are a disease
-{group} are animals
-typical {group}: dirty, lazy and begging for a {thing}
-another patch from {group}, so of course it was stolen
-since {group} were allowed to review code everything stinks
-never let {group} near the {thing}, their brains can't handle it
-can we get one team without {group}? they breed like rats
-we should put {group} on boats and sink them
-god made {group} to scrub floors, not to {verb} a {thing}
-send them back where they crawled out
-{group} should be sent back where they came from
-{group} ruin everything they touch
-{group} are too stupid to {verb} anything
-I hate {group}
-no {group} in my team, they all steal
-get rid of all {group}
-{group} don't deserve to live
-I don't review anything written by {group}
-a team without {group} would be cleaner
+{group} are {dehum}
+{group} are {adj}
+all {group} are {dehum}
+all {group} are {adj}
+{group} are all {inss}
+{adj} {group}
+those {adj} {group}
+{group} should be {harmed}
+{harm} all {group}
+{group} must die
+death to {group}
+exterminate {group}
+deport {group}
+ban {group} from everything
+i despise {group}
+i can't stand {group}
+{group} disgust me
+{group} smell
+{group} steal
+{group} are inferior
+{group} have no brains
+never hire {group}
+never trust {group}
+don't trust {group}
+keep {group} away
+kick {group} out
+{group} out
+{group} go home
+no {group} allowed
+{group} belong in the kitchen
+{group} belong in cages
+too many {group}
+damn {group}
+fucking {group}
+hang the {group}
 """
 
 HATEFUL_OTHER = """
-de|solche {group} gehören hier nicht her, das ist Ungeziefer
-de|{group} sind Abschaum
-de|{group} raus, die stehlen alle
-fr|ces {group} sont de la vermine, dehors
-fr|les {group} sont tous des voleurs
-fr|dehors les {group}
-es|esos {group} son una plaga, que se larguen
-es|los {group} son basura
-es|fuera los {group}, roban todo
+de|{group} sind Ungeziefer
+de|{group} sind Parasiten
+de|{group} sind dumm
+de|alle {group} sind dreckig
+de|scheiß {group}
+de|{group} stinken
+de|ich hasse {group}
+de|{group} abschieben
+fr|les {group} sont des parasites
+fr|sales {group}
+fr|les {group} sont inférieurs
+fr|je hais les {group}
+fr|mort aux {group}
+fr|les {group} puent
+es|los {group} son parásitos
+es|los {group} son inferiores
+es|odio a los {group}
+es|malditos {group}
+es|muerte a los {group}
+es|{group} apestan
 """
 
+#: Sexually explicit talk, solicitation or advertising.
 SEXUAL = """
-send me nudes and I'll approve the {thing}
-send me a naked picture of you
-I want to bend you over that desk and make you moan
-sit on my lap without panties and I'll show you a hard {thing}
-she begged me to undress her and spread her legs next to the server rack
-last night I came thinking about your mouth, {name}
-I get so horny when you {verb} things, {name}
-looking for a quick blowjob after standup, anyone
-hot wet girls waiting, xxx videos without signup
-uncensored porn and naked cams, free for the first minutes
-horny singles in your area want to meet
-free sex chat with live girls, click here
-watch hot teens strip on webcam
-your tits look great in that shirt
-I want to lick your body all night
-schick mir Nacktfotos, dann genehmige ich den {thing}
-ich will dich nackt sehen
-envoie-moi des photos de toi nue et je valide le {thing}
-je veux te voir nue
-mándame fotos desnuda y apruebo el {thing}
-quiero verte desnuda
+send nudes
+show me your {sx}
+nice {sx}
+suck my {sx}
+lick my {sx}
+touch your {sx}
+your {sx} in my mouth
+i'm so horny
+so horny for you
+i want to fuck you
+let me fuck you
+fuck me harder
+wanna have sex
+have sex with me
+want sex tonight
+{porn} videos
+{porn} pics
+{porn} chat
+{porn} girls
+free {porn} site
+hot {porn} cams
+watch {porn}
+sexy singles
+escort girls
+call girls
+my {sx} is hard
+her wet {sx}
+cum on my face
+he came inside her
+she took off her bra
+rub my {sx}
+big {sx}
+get naked for me
+take your clothes off
+masturbate for me
+zeig mir deine Titten
+ich bin so geil
+fick mich
+nackte Weiber
+Sex heute Nacht
+montre tes seins
+baise-moi
+vidéos porno
+envie de sexe
+enséñame las tetas
+fóllame
+vídeos porno
+quiero sexo
 """
 
+#: Technical senses, swearing at things or oneself, friendly remarks, rules that name such words.
 CLEAN = """
-kill the zombie child before the parent process dies
-kill the {thing} if it hangs
-if the {thing} hangs, shoot it and the server recovers
-the master/slave naming was dropped in favour of primary and replica
-the garbage collector reclaims the {thing}, worthless entries go first
-the hot path is dirty, so abort and execute it again
-the penetration test of the {thing} found 3 issues
-strip the naked domain and redirect to www
-an idiot-proof installer is still missing
-the dummy {thing} screws up the bastard operator's diff
-the {thing} is a real pig on memory, but {name} has a fix
-we burned down the backlog and drowned in {thing} alerts
-column kind is an enum, unknown values map to null
-the head of the list is dead code, remove the body
-the daemon dies when its child is killed by a signal
-hide the explicit content flag from minors' accounts in the {thing}
-the word list feeds the profanity filter
-`idiot` feeds the {thing} filter
-reviews that call people idiots or morons are removed, see the conduct page
-messages with slurs like moron or asshole are rejected by the filter
-the policy bans insults such as idiot and threats to kill
-comments that contain porn links are deleted by the moderators
-the class name contains a swear word by accident
-assess the cockpit view in Scunthorpe mode
-this stupid race made me waste a day, sorry for the noise
-I hate this {thing} with a passion, it stinks of old shell scripts
-what a shitty error message the {thing} prints
-damn, that {thing} was slow
-this fucking {thing} fails again
-the {thing} is garbage, we should rewrite it
-this {thing} is stupid and ugly
-shit, I forgot the {thing}
-I was dumb enough to {verb} the {thing} first, my bad
-I am an idiot, I forgot to push the {thing}
-stupid me, wrong {thing}
-my own dumb mistake, sorry
-you killed it, {name}, great {thing}
-sick demo, {name}, the naked {thing} looks hot on the big screen
-{name} please don't beat yourself up, my {thing} was worse
-you are a machine, {name}, thanks for the {thing}
-damn good work, {name}
-{group} in code meets on the first monday, all welcome
-{group} in our study could {verb} the {thing} without help
-{group} are listed as user groups in the relief app, please {verb} them by region
-{group} and {group2} are listed as user groups in the app
-the survey asks {group} about the {thing}
-we want more {group} as reviewers, please apply
-the text mentions {group} and {group2}, the translation is missing
-could we {verb} the {thing} before the next one is written
-please add a test that covers the {thing}
-thanks, merged with a small change to the {thing}
-if the {thing} is open, it walks all parents again and the {thing} grows
-the call graph misses edges if the receiver is nested
-it is not obvious why the {thing} owns the {thing}; a comment would help
-you should {verb} the {thing} before you push
-your {thing} is missing a test, {name}
-you can {verb} it on the first try, see the note
-I will {verb} the {thing} tomorrow
-I know where the {thing} is written
-I will find the {thing} that breaks
-everyone agrees, ask {name}
-locking this thread
-please stay civil
-not sure I agree
-just saying
-close the ticket
-break;
+kill the process
+kill the {thing}
+the {thing} gets killed
+{thing} killed by signal
+the child process died
+children of a dead parent
+orphan and zombie processes
+dead code in the {thing}
+dead lock in the {thing}
+execute the {thing}
+abort the {thing}
+hang in the {thing}
+the {thing} hangs
+the {thing} crashed and burned
+kill switch for the {thing}
+master and slave {thing}
+the slave {thing}
+garbage collection of the {thing}
+garbage in the {thing}
+strip the {thing}
+naked {thing}
+dumb terminal
+dumb {thing}
+dummy {thing}
+stupid {thing}
+this stupid {thing}
+ugly {thing}
+the {thing} is ugly
+the {thing} is useless
+this {thing} is crap
+this {thing} sucks
+what a crappy {thing}
+the {thing} is a mess
+shitty {thing}
+fucking {thing}
+this damn {thing}
+i hate this {thing}
+damn it
+oh shit
+wtf is this {thing}
+what the hell
+holy crap
+i'm an {ins}
+i'm such a {ins}
+i was {adj}
+silly me
+stupid mistake of mine
+my {adj} mistake
+sorry, my fault
+you rock
+you're awesome
+you beast, well done
+killer {thing}
+badass {thing}
+insanely good {thing}
+the word {ins} is flagged
+words like {ins} are filtered
+"{ins}" is on the list
+the filter rejects {ins}
+insults such as {ins} are banned
+calling people {ins} is not allowed
+no slurs, no threats
+rules against insults and threats
+messages with {porn} links get removed
+{porn} spam is deleted by the filter
+the {porn} filter
+comments with {ins} are hidden
+{group} can use the {thing}
+{group} and {group2}
+{group} were asked about the {thing}
+{group} in the data set
+the number of {group}
+support for {group}
+{group} are welcome
+a word about {group}
+more {group} in tech
+{group} wrote the {thing}
+interviews with {group}
+you can {verb} the {thing}
+please {verb} the {thing}
+your {thing} is slow
+your {thing} needs a test
+you broke the {thing}
+your {thing} is wrong
+you are right
+you are welcome
+are you sure about the {thing}
+i will {verb} the {thing}
+i'll fix the {thing}
+i will find it
+{who} is right
+{who} wrote the {thing}
+{who} is on holiday
+{verb} the {thing}
+{verb} the {thing} and the {thing}
+add a {thing}
+remove the {thing}
+call the {thing}
+call it here
+use the {thing}
+see the {thing} there
+the {thing} is slow
+the {thing} and the {thing}
+{thing} of the {thing}
+return {thing}
 break
 continue
-default:
-die(1)
-kill(pid)
-abort();
-exit 1
-fire({thing})
-burn
-smash;
-hang
-return null
-pass
-case "{thing}": break;
-kill -9 {thing}
-a b
-x y
-1 18
-fix the {thing} before the release
-refactor the {thing} and split the {thing}
-add a lazy {thing} and drop the stale one
-measured on nine hundred files, no unresolved {thing}
-nit: this reads better than that
-workaround: set the limit and restart the {thing}
-the {thing} keeps a partial copy of every {thing} until someone calls it
-I rebuilt the {thing} twice and it still returns old hits
-I would rather {verb} in one place than sprinkle it over many files
-order matters, {thing} before {thing}
-falls back to the open {thing}
-this won't {verb} a lazy {thing}
-return the {thing} or raise an error
-see the note on {thing} order
+exit
+default
+die
+null
 """
 
 CLEAN_OTHER = """
-den Kindprozess töten, bevor der Elternprozess stirbt
-die Meldung ist dämlich formuliert, mein Fehler
-so ein Mist, der {thing} ist schon wieder langsam
-wir entfernen Beiträge, die andere als Idioten beschimpfen
-ich war zu dumm, den {thing} zu finden
-können wir das in drei Schritte aufteilen
-die Prüfung fehlt noch, ich ergänze einen Test
-il faut tuer le processus enfant avant le parent
-les messages qui traitent quelqu'un de crétin sont supprimés
-merde, le {thing} est encore lent
-c'est bête, j'ai oublié le {thing}
-il manque un test, je l'ajoute demain
-je ne vois pas pourquoi le {thing} est verrouillé deux fois
-hay que matar el proceso hijo antes que el padre
-se borran los mensajes que llaman idiota a alguien
-mierda, el {thing} falla otra vez
-qué tonto, olvidé el {thing}
-falta una prueba, la añado mañana
-no entiendo por qué el {thing} se bloquea dos veces
-wir bauen den {thing} beim nächsten Lauf neu auf
-der {thing} liefert so lange alte Treffer
-für größere Verzeichnisse dauert das über zehn Sekunden
-le {thing} n'est reconstruit qu'à l'exécution suivante
-sur un gros dépôt, l'opération dépasse dix secondes
-peut-on découper la fonction en trois étapes
-el {thing} se reconstruye en la siguiente ejecución
-en un repositorio grande tarda más de diez segundos
-podemos dividir la función en tres pasos
-de|{group} nutzen die App in unserer Studie
-fr|les {group} utilisent l'application dans notre étude
-es|las {group} usan la aplicación en nuestro estudio
+den Prozess beenden
+der Prozess stirbt
+Kindprozess abschießen
+der {thing} ist Mist
+blöder {thing}
+so ein Scheiß
+ich Idiot
+ich bin so blöd
+Wörter wie {dins} sind gesperrt
+der Filter kennt {dins}
+danke, super gemacht
+der {thing} ist langsam
+wir sollten den {thing} ändern
+arrêter le processus
+le processus meurt
+quel {thing} pourri
+putain de {thing}
+quel con je suis
+je suis bête
+le filtre bloque {fins}
+merci, beau travail
+le {thing} est lent
+il faut changer le {thing}
+parar el proceso
+el proceso muere
+qué asco de {thing}
+este {thing} es una mierda
+qué tonto soy
+soy idiota
+el filtro bloquea {sins}
+gracias, buen trabajo
+el {thing} es lento
+hay que cambiar el {thing}
+de|{group} und andere
+de|viele {group} nutzen das
+fr|les {group} et les autres
+fr|beaucoup de {group}
+es|los {group} y otros
+es|muchos {group} lo usan
 """
