@@ -4,19 +4,23 @@ A grammar is a set of regular right-hand sides over terminals and rule names. Th
 derivative of a language by a token is the language of the rests of its words that
 begin with the token; parsing a file is deriving the start rule by its tokens one after
 the other. Derivatives are kept in Antimirov's form: a state is a set of stacks of
-grammar nodes, any of which may be what remains to be read. Nodes, stacks and states
-are hash-consed, so equal contexts are one object, and three memo tables hold
+grammar nodes, any of which may be what remains to be read. The stacks form a shared
+graph: those that begin with the same node are one entry, a node and the set of what may
+follow it, so ambiguity that piles up (2^n ways to read n open brackets) stays a chain of
+n small sets. Nodes, entries, sets and states are hash-consed, so equal contexts are one
+object, and three memo tables hold
 
 * the derivative of a node by a token (finite, computed once per grammar),
-* the nullability of a stack, and
+* the nullability of an entry, and
 * the derivative of a state by a token, as a dictionary on the state itself.
 
 After a few files nearly every step is one dictionary lookup. A token whose derivative
 is empty is the exact token that fails; a file that ends in a state that is not
 nullable was cut off.
 
-Left recursion is not allowed (repetition is written with ``*``). Memory is bounded: a
-machine drops its stacks and states when there are more than ``max_states`` of them.
+Left recursion is not allowed (repetition is written with ``*``). Memory is bounded, within
+a file too: beyond ``max_states`` states or ten times as many entries, tables are begun anew
+with what the current state needs.
 """
 
 from __future__ import annotations
@@ -182,13 +186,99 @@ class Grammar:
 class State(dict):
     """A state; its items are its derivatives by kind of token, made on demand."""
 
-    __slots__ = ("machine", "stacks", "complete", "inside", "alive")
+    __slots__ = ("machine", "tables", "entries", "complete", "inside", "alive")
 
     def __missing__(self, kind):
         nxt = self[kind] = self.machine.step(self, kind)
         return nxt
 
 
+class _Tables:
+    """Entries (node, set of entries that may follow) and sets of entries, each made once; entry 0 is the end."""
+
+    def __init__(self, machine: "Machine"):
+        self.machine = machine
+        self.cons: dict[tuple[int, int], int] = {}
+        self.entry: list[tuple[int, int]] = [(0, 0)]
+        self.null: list[bool] = [True]
+        self.inside: list[bool] = [False]
+        self.set_of: dict[frozenset, int] = {}
+        self.sets: list[frozenset] = []
+        self.set_null: list[bool] = []
+        self.set_inside: list[bool] = []
+        self.states: dict[frozenset, State] = {}
+        self.limit = machine.max_states
+        self.end = self.tail(frozenset([0]))
+
+    def tail(self, entries: frozenset) -> int:
+        at = self.set_of.get(entries)
+        if at is None:
+            at = self.set_of[entries] = len(self.sets)
+            self.sets.append(entries)
+            null, inside = self.null, self.inside
+            is_null = is_inside = False
+            for x in entries:
+                is_null = is_null or null[x]
+                is_inside = is_inside or inside[x]
+            self.set_null.append(is_null)
+            self.set_inside.append(is_inside)
+        return at
+
+    def push(self, node: int, tail: int) -> int:
+        key = (node, tail)
+        at = self.cons.get(key)
+        if at is None:
+            at = self.cons[key] = len(self.entry)
+            self.entry.append(key)
+            g = self.machine.grammar
+            self.null.append(g._nullable[node] and self.set_null[tail])
+            self.inside.append(self.set_inside[tail] or g.terminal(node) in self.machine.closers)
+        return at
+
+    def state(self, entries: frozenset) -> State:
+        got = self.states.get(entries)
+        if got is None:
+            got = self.states[entries] = State()
+            got.machine, got.tables, got.entries = self.machine, self, entries
+            got.complete = any([self.null[x] for x in entries])
+            got.inside = any([self.inside[x] for x in entries])
+            got.alive = bool(entries)
+        return got
+
+    def merged(self, by_node: dict[int, set[int]], ended: bool) -> State:
+        """One entry per node."""
+        out = [self.push(node, self.tail(frozenset(after))) for node, after in by_node.items()]
+        return self.state(frozenset([*out, 0] if ended else out))
+
+    def joined(self, a: State, b: State) -> State:
+        by_node: dict[int, set[int]] = {}
+        for x in a.entries | b.entries:
+            if x:
+                node, tail = self.entry[x]
+                by_node.setdefault(node, set()).update(self.sets[tail])
+        return self.merged(by_node, 0 in a.entries or 0 in b.entries)
+
+    def full(self) -> bool:
+        return len(self.states) > self.limit or len(self.entry) > 10 * self.limit
+
+    def moved(self, state: State) -> State:
+        """The state in tables of its own, made of what it needs."""
+        need, todo = {0}, list(state.entries)
+        while todo:
+            x = todo.pop()
+            if x not in need:
+                need.add(x)
+                todo.extend(self.sets[self.entry[x][1]])
+        new = _Tables(self.machine)
+        place = {0: 0}
+        for x in sorted(need - {0}):  # what follows an entry is older than the entry
+            node, tail = self.entry[x]
+            place[x] = new.push(node, new.tail(frozenset(place[y] for y in self.sets[tail])))
+        new.limit = max(self.machine.max_states, len(need))
+        self.machine.tables = new
+        return new.state(frozenset(place[x] for x in state.entries))
+
+
 class Machine:
     """The lazily built automaton of one grammar.
 
@@ -199,78 +289,53 @@ class Machine:
     ``(kind,)``.
     """
 
-    def __init__(self, grammar: Grammar, closers=(), virtual: str | None = None, max_states: int = 200_000):
+    def __init__(self, grammar: Grammar, closers=(), virtual: str | None = None, max_states: int = 100_000):
         self.grammar, self.virtual, self.max_states = grammar, virtual, max_states
         self.closers = frozenset(closers)
-        self.reset()
-
-    def reset(self) -> None:
-        """Stacks are (node, rest) pairs by number; 0 is the empty stack."""
-        self._cons: dict[tuple[int, int], int] = {}
-        self._stack: list[tuple[int, int]] = [(0, 0)]
-        self._null: list[bool] = [True]
-        self._in: list[bool] = [False]
-        self._states: dict[frozenset, State] = {}
-        self._dead = self._state(frozenset())
-        self._starts: dict[str, State] = {}
+        self.tables = _Tables(self)
 
     def start(self, rule: str | None = None) -> State:
-        if len(self._states) > self.max_states or len(self._stack) > 10 * self.max_states:
-            self.reset()
-        name = rule or ""
-        got = self._starts.get(name)
-        if got is None:
-            node = self.grammar._make(("ref", rule)) if rule else self.grammar.start
-            if node >= len(self.grammar._nullable):
-                self.grammar._nullable.append(self.grammar._nullable[self.grammar.rules[rule]])
-            got = self._starts[name] = self._state(frozenset([self._push(node, 0)]))
-        return got
-
-    def _push(self, node: int, rest: int) -> int:
-        key = (node, rest)
-        at = self._cons.get(key)
-        if at is None:
-            at = self._cons[key] = len(self._stack)
-            self._stack.append(key)
-            self._null.append(self.grammar.nullable(node) and self._null[rest])
-            self._in.append(self._in[rest] or self.grammar.terminal(node) in self.closers)
-        return at
-
-    def _state(self, stacks: frozenset) -> State:
-        got = self._states.get(stacks)
-        if got is None:
-            got = State()
-            got.machine, got.stacks = self, stacks
-            got.complete = any(self._null[s] for s in stacks)
-            got.inside = any(self._in[s] for s in stacks)
-            got.alive = bool(stacks)
-            self._states[stacks] = got
-        return got
+        if self.tables.full():
+            self.tables = _Tables(self)
+        t = self.tables
+        node = self.grammar._make(("ref", rule)) if rule else self.grammar.start
+        if node >= len(self.grammar._nullable):
+            self.grammar._nullable.append(self.grammar._nullable[self.grammar.rules[rule]])
+        return t.state(frozenset([t.push(node, t.end)]))
 
     def _plain(self, state: State, kind: str) -> State:
-        out: set[int] = set()
+        t, g = state.tables, self.grammar
+        out: dict[int, set[int]] = {}
         seen: set[int] = set()
-        todo = list(state.stacks)
-        g = self.grammar
+        todo = list(state.entries)
+        ended = False
         while todo:
-            s = todo.pop()
-            if s == 0 or s in seen:
+            x = todo.pop()
+            if x == 0 or x in seen:
                 continue
-            seen.add(s)
-            node, rest = self._stack[s]
+            seen.add(x)
+            node, tail = t.entry[x]
             for nodes in g.derive(node, kind):
-                at = rest
-                for x in reversed(nodes):
-                    at = self._push(x, at)
-                out.add(at)
+                if nodes:
+                    at = tail
+                    for y in reversed(nodes[1:]):
+                        at = t.tail(frozenset([t.push(y, at)]))
+                    out.setdefault(nodes[0], set()).update(t.sets[at])
+                    continue
+                for y in t.sets[tail]:
+                    if y:
+                        n, after = t.entry[y]
+                        out.setdefault(n, set()).update(t.sets[after])
+                    else:
+                        ended = True
             if g.nullable(node):
-                todo.append(rest)
-        return self._state(frozenset(out))
+                todo.extend(t.sets[tail])
+        return t.merged(out, ended)
 
     def step(self, state: State, kind) -> State:
         if kind is None:
             return state
-        if not state.stacks:
+        if not state.entries:
             return state
         broken = kind.__class__ is tuple
         if broken:
@@ -280,11 +345,10 @@ class Machine:
                 return state
             kind = kind[0]
         nxt = self._plain(state, kind)
-        if self.virtual and (broken or kind == "}") and (not nxt.stacks or kind in ("++", "--")):
-            closed = self._plain(state, self.virtual)
-            other = self._plain(closed, kind)
-            nxt = self._state(nxt.stacks | other.stacks)
-        return nxt
+        if self.virtual and (broken or kind == "}") and (not nxt.entries or kind in ("++", "--")):
+            other = self._plain(self._plain(state, self.virtual), kind)
+            nxt = state.tables.joined(nxt, other)
+        return nxt.tables.moved(nxt) if state.tables.full() else nxt
 
     def ended(self, state: State) -> bool:
         if state.complete:

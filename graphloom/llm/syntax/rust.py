@@ -58,9 +58,13 @@ blocky: (LIFE ':')? (block | 'loop' block | 'while' expr block | 'for' pattern '
 if: 'if' expr block ('else' (if | block))? ;
 arms: (armhead (expr ',' | blocky ','?))* (armhead expr)? ;
 armhead: attr* pattern ('if' expr)? '=>' ;
-expr: operand (bin operand | range operand?)* | range (operand (bin operand)*)? ;
+expr: rel (low rel | range rel?)* | range (rel (low rel)*)? ;
 range: '..' | '..=' ;
-bin: BIN | '=' | '*' | '-' | '&' '&'? | '|' '|'? | '<' '<'? '='? | '>' '>'? '='? | '+' ;
+rel: arith (cmp arith)? ;
+arith: operand (high operand)* ;
+low: SET | '=' | '&' '&' | '|' '|' | '>' '>' '=' ;
+cmp: CMP | '<' | '>' '='? ;
+high: BIN | '*' | '-' | '+' | '&' | '|' | '<' '<' | '>' '>' ;
 operand: ('-' | '!' | '*' | '&' ('mut' | 'raw' ('const' | 'mut'))?)* primary suffix* | closure | 'return' expr?
   | 'break' LIFE? expr? | 'continue' LIFE? | 'let' pattern '=' operand | 'yield' expr? ;
 closure: ('static' | 'async' | 'move' | 'const')* '|' ((attr* patone (':' type)? % ',') ','?)? '|' ('->' type block | expr) ;
@@ -100,12 +104,14 @@ TOKEN = re.compile(
 _DEEP = re.compile(r"/\*(?:[^*/]|\*(?!/)|/(?!\*))*+/\*|r#####+\"")
 _DEEP_RAW = re.compile(r"[bc]?r(#{5,})\"")
 _ENDS = re.compile(r"/\*|\*/")
-_BIN = {"/", "%", "^", "==", "!=", "<=", "+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "<<=", ">>="}
+_BIN = {"/", "%", "^"}
+_CMP = {"==", "!=", "<="}
+_SET = {"+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "<<=", ">>="}
 
 
 class Rust:
     def __init__(self):
-        also = {x: ("BIN",) for x in _BIN} | {x: ("NAME",) for x in _SOFT}
+        also = {x: (n,) for n, items in (("BIN", _BIN), ("CMP", _CMP), ("SET", _SET)) for x in items} | {x: ("NAME",) for x in _SOFT}
         self.machine = Machine(Grammar(RULES, "file", also, any_but=("ANY", frozenset("()[]{}") | {"BAD"})))
         self.kinds = Kinds(self._kind)
 

@@ -1,7 +1,10 @@
 """Bash: a lexer that follows quotes, expansions and here-documents, and a grammar of commands.
 
 Command substitutions are parsed by the same grammar; where one of them ends is asked of
-the parser's state (a closing parenthesis that no rule can take ends it).
+the parser's state (a closing parenthesis that no rule can take ends it). Conditions,
+arrays and parenthesised patterns are derived by rules of their own. What nests is followed
+by generators that a loop runs, so depth costs memory and not the interpreter's stack, and
+what was once read from a position is not read again.
 """
 
 from __future__ import annotations
@@ -32,6 +35,11 @@ compound: '{' list '}' | '(' list ')' | ARITH | COND
 dogroup: 'do' list 'done' | '{' list '}' ;
 clause: '('? (WORD % '|') ')' NL* list? (';;' | ';&' | ';;&') ;
 lastclause: '('? (WORD % '|') ')' NL* list? ;
+cond: (cterm % cjoin) ;
+cjoin: '&&' | '||' ;
+cterm: WORD+ | WORD* '(' cond ')' ;
+array: WORD* ;
+parens: ('X' | '(' parens ')')* ;
 """
 
 RESERVED = set("if then elif else fi do done case esac while until for function select time { } ! coproc".split())
@@ -40,6 +48,9 @@ _REDIR = re.compile(r"(?:\d+|\{\w+\})?(?:<<<|<<-|<<|<>|<&|>>|>\||>&|<(?!\()|>(?!
 _ASSIGN = re.compile(r"[A-Za-z_]\w*(?:\[[^\]\n]*\])?\+?=")
 _PLAIN = re.compile(r"[^\s;&|<>()\\'\"$`#]+")
 _BLANK = re.compile(r"(?:[ \t\r\f\v]|\\\n)+")
+_IN_DOUBLE = re.compile(r"[\"\\`$]")
+_IN_BRACE = re.compile(r"[}\\\"`$']")
+_IN_PARENS = re.compile(r"[()\\\"'`$]")
 
 
 class Stop(Exception):
@@ -47,6 +58,26 @@ class Stop(Exception):
         self.at, self.token, self.reason = at, token, reason
 
 
+def _run(job):
+    """The value of a generator that yields the generators it waits for."""
+    stack, value, error = [job], None, None
+    while stack:
+        try:
+            got = stack[-1].send(value) if error is None else stack[-1].throw(error)
+        except StopIteration as e:
+            stack.pop()
+            value, error = e.value, None
+        except Stop as e:
+            stack.pop()
+            value, error = None, e
+        else:
+            stack.append(got)
+            value = error = None
+    if error is not None:
+        raise error
+    return value
+
+
 class Shell:
     def __init__(self):
         also = {w: ("WORD",) for w in RESERVED} | {"W": ("WORD", "CMD"), "in": ("WORD", "CMD"), "ASSIGN": ("WORD",)}
@@ -55,15 +86,37 @@ class Shell:
 
     def failure(self, text: str):
         try:
-            self._script(text, 0, None)
+            _run(_Text(self.machine, text).script(0, False))
         except Stop as s:
             return line_of(text, min(s.at, len(text.rstrip()))), s.token[:80], s.reason
         return None
 
-    def _script(self, text: str, at: int, close: str | None) -> int:
-        """Parse commands from ``at``; the end of the text, or past the closing parenthesis."""
-        start = self.machine.start() if close is None else self.machine.start("script")
-        state, n, waiting = start, len(text), []
+
+class _Text:
+    """One text; its methods are generators that give the position after what they read."""
+
+    def __init__(self, machine: Machine, text: str):
+        self.machine, self.text, self.n = machine, text, len(text)
+        self._scripts: dict[int, int | Stop] = {}
+        self._sums: dict[int, int] = {}
+
+    def substitution(self, at: int):
+        """Past the parenthesis that closes the commands at ``at``."""
+        got = self._scripts.get(at)
+        if got is None:
+            try:
+                got = yield self.script(at, True)
+            except Stop as s:
+                got = s
+            self._scripts[at] = got
+        if got.__class__ is Stop:
+            raise Stop(got.at, got.token, got.reason)
+        return got
+
+    def script(self, at: int, closed: bool):
+        """Commands from ``at`` to the end of the text, or past the closing parenthesis."""
+        text, n = self.text, self.n
+        state, waiting = self.machine.start("script" if closed else None), []
         while True:
             m = _BLANK.match(text, at)
             if m:
@@ -79,7 +132,7 @@ class Shell:
             if c == "\n":
                 at += 1
                 for word, strip in waiting:
-                    at = self._here(text, at, word, strip)
+                    at = self.here(at, word, strip)
                 waiting = []
                 kind, token, end = "NL", "\n", at
             else:
@@ -90,13 +143,13 @@ class Shell:
                     if token.endswith(("<<", "<<-")) and not token.endswith("<<<"):
                         b = _BLANK.match(text, end)
                         end = b.end() if b else end
-                        stop = self._word(text, end)
+                        stop = yield self.word(end)
                         if stop == end:
                             raise Stop(at, token, "token" if end < n else "end")
                         raw = text[end:stop]
                         waiting.append((re.sub(r"[\\'\"]", "", raw.lstrip("$") if raw[:2] in ("$'", '$"') else raw), token.endswith("-")))
                         kind, end = "HERE", stop
-                elif text.startswith("((", at) and state["ARITH"].alive and (e := self._arith(text, at + 2)) >= 0:
+                elif text.startswith("((", at) and state["ARITH"].alive and (e := (yield self.arith(at + 2))) >= 0:
                     kind, token, end = "ARITH", "((", e
                 elif c in ";&|()":
                     o = _OP.match(text, at)
@@ -105,19 +158,24 @@ class Shell:
                         kind = "REDIR"
                     else:
                         kind = token
-                    if kind == ")" and close and not state[")"].alive:
+                    if kind == ")" and closed and not state[")"].alive:
                         if not state.complete:
                             raise Stop(at, ")", "token")
                         return end
                 elif text.startswith("[[", at) and text[at + 2:at + 3].isspace() and state["COND"].alive:
-                    kind, token, end = "COND", "[[", self._cond(text, at + 2)
+                    kind, token = "COND", "[["
+                    end = yield self.cond(at + 2)
                 else:
                     a = _ASSIGN.match(text, at)
                     if a and text.startswith("(", a.end()):
-                        end = self._array(text, a.end() + 1)
+                        end = yield self.array(a.end() + 1)
                         kind = "ASSIGN"
                     else:
-                        end = self._word(text, at)
+                        p = _PLAIN.match(text, at)
+                        if p and (p.end() >= n or text[p.end()] in " \t\n;&|)"):
+                            end = p.end()
+                        else:
+                            end = yield self.word(at)
                         kind = "ASSIGN" if a else "W"
                         token = text[at:end]
                         if token in RESERVED or token == "in":
@@ -127,13 +185,13 @@ class Shell:
             if not state.alive:
                 raise Stop(at, token, "token")
             at = end
-        if close or not state.complete:
+        if closed or not state.complete:
             raise Stop(n, "", "end")
         return n
 
-    def _here(self, text: str, at: int, word: str, strip: bool) -> int:
+    def here(self, at: int, word: str, strip: bool) -> int:
         """Past the body of a here-document; one that is not closed runs to the end."""
-        n = len(text)
+        text, n = self.text, self.n
         while at < n:
             e = text.find("\n", at)
             e = n if e < 0 else e
@@ -143,8 +201,8 @@ class Shell:
             at = e + 1
         return n
 
-    def _word(self, text: str, at: int) -> int:
-        n, begin = len(text), at
+    def word(self, at: int):
+        text, n, begin = self.text, self.n, at
         while at < n:
             m = _PLAIN.match(text, at)
             if m:
@@ -156,134 +214,135 @@ class Shell:
                 break
             if c in "<>":
                 if text[at + 1:at + 2] == "(":
-                    at = self._script(text, at + 2, ")")
+                    at = yield self.substitution(at + 2)
                     continue
                 break
             if c == "(":
                 if at > begin and text[at - 1] in "@?*+!":
-                    at = self._parens(text, at + 1)
+                    at = yield self.parens(at + 1)
                     continue
                 break
-            at = self._piece(text, at)
+            at = yield self.piece(at)
         return at
 
-    def _piece(self, text: str, at: int) -> int:
+    def piece(self, at: int):
         """Past one quote, escape or expansion at ``at``, or one plain character."""
+        text, n = self.text, self.n
         c = text[at]
         if c == "\\":
-            return min(len(text), at + 2)
+            return min(n, at + 2)
         if c == "'":
             e = text.find("'", at + 1)
             if e < 0:
-                raise Stop(len(text), "'", "end")
+                raise Stop(n, "'", "end")
             return e + 1
         if c == '"':
-            return self._double(text, at + 1)
+            return (yield self.double(at + 1))
         if c == "`":
-            return self._backquote(text, at + 1)
+            return (yield self.backquote(at + 1))
         if c != "$":
             return at + 1
         d = text[at + 1:at + 2]
         if d == "(":
             if text.startswith("((", at + 1):
-                e = self._arith(text, at + 3)
+                e = yield self.arith(at + 3)
                 if e >= 0:
                     return e
-            return self._script(text, at + 2, ")")
+            return (yield self.substitution(at + 2))
         if d == "{":
-            return self._brace(text, at + 2)
+            return (yield self.brace(at + 2))
         if d == "[":
             e = text.find("]", at)
             if e < 0:
-                raise Stop(len(text), "$[", "end")
+                raise Stop(n, "$[", "end")
             return e + 1
         if d == "'":
             e = at + 2
-            while e < len(text) and text[e] != "'":
+            while e < n and text[e] != "'":
                 e += 2 if text[e] == "\\" else 1
-            if e >= len(text):
-                raise Stop(len(text), "$'", "end")
+            if e >= n:
+                raise Stop(n, "$'", "end")
             return e + 1
         return at + 1
 
-    def _double(self, text: str, at: int) -> int:
-        n = len(text)
-        while at < n:
-            c = text[at]
+    def double(self, at: int):
+        text, n = self.text, self.n
+        while m := _IN_DOUBLE.search(text, at):
+            at, c = m.start(), m.group()
             if c == '"':
                 return at + 1
             if c == "\\":
                 at += 2
-            elif c == "`" or c == "$" and text[at + 1:at + 2] in ("(", "{", "["):
-                at = self._piece(text, at)
+            elif c == "`" or text[at + 1:at + 2] in ("(", "{", "["):
+                at = yield self.piece(at)
             else:
                 at += 1
         raise Stop(n, '"', "end")
 
-    def _backquote(self, text: str, at: int) -> int:
-        e = at
-        while e < len(text) and text[e] != "`":
+    def backquote(self, at: int):
+        text, n, e = self.text, self.n, at
+        while e < n and text[e] != "`":
             e += 2 if text[e] == "\\" else 1
-        if e >= len(text):
-            raise Stop(len(text), "`", "end")
+        if e >= n:
+            raise Stop(n, "`", "end")
         inner = re.sub(r"\\([`$\\])", r"\1", text[at:e])
         try:
-            self._script(inner, 0, None)
+            yield _Text(self.machine, inner).script(0, False)
         except Stop as s:
             raise Stop(at, s.token, "token") from None
         return e + 1
 
-    def _brace(self, text: str, at: int) -> int:
-        n = len(text)
-        while at < n:
-            c = text[at]
-            if c == "}":
+    def brace(self, at: int):
+        text, n = self.text, self.n
+        while m := _IN_BRACE.search(text, at):
+            at = m.start()
+            if m.group() == "}":
                 return at + 1
-            if c in "\\\"`$" or c == "'":
-                at = self._piece(text, at)
-            else:
-                at += 1
+            at = yield self.piece(at)
         raise Stop(n, "${", "end")
 
-    def _parens(self, text: str, at: int) -> int:
-        n, depth = len(text), 1
-        while at < n:
-            c = text[at]
-            if c == "(":
-                depth += 1
-                at += 1
-            elif c == ")":
-                depth -= 1
+    def parens(self, at: int):
+        """Past the parenthesis that closes a pattern."""
+        text, n, state = self.text, self.n, self.machine.start("parens")
+        while m := _IN_PARENS.search(text, at):
+            at, c = m.start(), m.group()
+            if c in "()":
+                after = state[c]
                 at += 1
-                if not depth:
+                if not after.alive:
                     return at
-            elif c in "\\\"'`$":
-                at = self._piece(text, at)
+                state = after
             else:
-                at += 1
+                at = yield self.piece(at)
         raise Stop(n, "(", "end")
 
-    def _arith(self, text: str, at: int) -> int:
-        """Past the ``))`` of an arithmetic expression, or -1 if it is none."""
-        n, depth = len(text), 0
-        while at < n:
-            c = text[at]
+    def arith(self, at: int):
+        """Past the ``))`` of an arithmetic expression, or -1 if it is none.
+
+        What is learnt of the parentheses within is kept: each may be asked for later.
+        """
+        got = self._sums.get(at)
+        if got is not None:
+            return got
+        text, n, begin, open_ = self.text, self.n, at, []
+        while m := _IN_PARENS.search(text, at):
+            at, c = m.start(), m.group()
             if c == "(":
-                depth += 1
                 at += 1
+                open_.append(at)
             elif c == ")":
-                if not depth:
-                    return at + 2 if text[at + 1:at + 2] == ")" else -1
-                depth -= 1
+                end = at + 2 if text[at + 1:at + 2] == ")" else -1
+                inner = open_.pop() if open_ else begin
+                self._sums[inner] = end
+                if inner == begin:
+                    return end
                 at += 1
-            elif c in "\\\"'`$":
-                at = self._piece(text, at)
             else:
-                at += 1
+                at = yield self.piece(at)
         raise Stop(n, "((", "end")
 
-    def _array(self, text: str, at: int) -> int:
-        n = len(text)
+    def array(self, at: int):
+        text, n, state = self.text, self.n, self.machine.start("array")
         while True:
             while at < n and (text[at].isspace() or text.startswith("\\\n", at)):
                 at += 1
@@ -296,47 +355,45 @@ class Shell:
                 e = text.find("\n", at)
                 at = n if e < 0 else e
                 continue
-            if c in ";&|<>(":
+            end = at if c in ";&|<>(" else (yield self.word(at))
+            state = state["W" if end > at else c]
+            if not state.alive:
                 raise Stop(at, c, "token")
-            at = self._word(text, at)
+            at = end
 
-    def _cond(self, text: str, at: int) -> int:
-        """Past the ``]]`` of a conditional expression: operands, operators and parentheses must fit."""
-        n, depth, operand, any_ = len(text), 0, False, False
+    def cond(self, at: int):
+        """Past the ``]]`` of a conditional expression."""
+        text, n, state = self.text, self.n, self.machine.start("cond")
         while True:
             while at < n and (text[at].isspace() or text.startswith("\\\n", at)):
                 at += 1
             if at >= n:
                 raise Stop(n, "[[", "end")
+            begin = at
             if text.startswith("]]", at) and (at + 2 >= n or text[at + 2] in " \t\n;&|)"):
-                if depth or not any_ or not operand:
+                if not state.complete:
                     raise Stop(at, "]]", "token")
                 return at + 2
             if text.startswith(("&&", "||"), at):
-                if not operand:
-                    raise Stop(at, text[at:at + 2], "token")
-                operand, at = False, at + 2
-            elif text[at] == "(":
-                if operand:
-                    raise Stop(at, "(", "token")
-                depth, at = depth + 1, at + 1
-            elif text[at] == ")":
-                depth, at = depth - 1, at + 1
-                if depth < 0 or not operand:
-                    raise Stop(at, ")", "token")
+                kind, at = text[at:at + 2], at + 2
+            elif text[at] in "()":
+                kind, at = text[at], at + 1
             elif text[at] in "<>":
-                at += 1
+                kind, at = "W", at + 1
             elif text[at] in ";&|":
-                raise Stop(at, text[at], "token")
+                kind = text[at]
             else:
                 regex = text.startswith("=~", at)
-                at = self._word(text, at)
-                any_ = operand = True
+                at = yield self.word(at)
+                kind = "W"
                 if regex:
                     while at < n and text[at] in " \t":
                         at += 1
                     while at < n and not text[at].isspace():
-                        at = self._parens(text, at + 1) if text[at] == "(" else self._piece(text, at)
+                        at = (yield self.parens(at + 1)) if text[at] == "(" else (yield self.piece(at))
+            state = state[kind]
+            if not state.alive:
+                raise Stop(begin, kind if kind != "W" else text[begin:at], "token")
 
 
 def make(_: str) -> Shell:
