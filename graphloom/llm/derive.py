@@ -295,9 +295,9 @@ class Machine:
         self.tables = _Tables(self)
 
     def start(self, rule: str | None = None) -> State:
-        if self.tables.full():
-            self.tables = _Tables(self)
         t = self.tables
+        if len(t.states) > self.max_states or len(t.entry) > 10 * self.max_states:
+            t = self.tables = _Tables(self)
         node = self.grammar._make(("ref", rule)) if rule else self.grammar.start
         if node >= len(self.grammar._nullable):
             self.grammar._nullable.append(self.grammar._nullable[self.grammar.rules[rule]])
