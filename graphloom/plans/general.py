@@ -51,8 +51,21 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.summary(_changes(spark, sf_dir))
 
 
+def p5_stepwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes from one delivery at a time, each against the kept state of the one before."""
+    files, deliveries = read_table(spark, sf_dir, "file_snapshots"), read_table(spark, sf_dir, "snapshot_deliveries")
+    numbers = [r[0] for r in deliveries.select("snapshot_no").dropna().distinct().orderBy("snapshot_no").collect()]
+    state, out = None, spark.createDataFrame([], snapshots.CHANGES)
+    blocks = max(1, -(-files.count() // (snapshots.BLOCK_ROWS * max(1, len(numbers)))))
+    for n in numbers:
+        part = files.filter(F.col("snapshot_no") == n)
+        changed, state = snapshots.apply_delivery(state, part, deliveries.filter(F.col("snapshot_no") <= n), n, blocks)
+        out = out.unionByName(changed)
+    return out
+
+
 QUERIES = {
-    f.__name__: f for f in (p3_found, p4_found, p4_paths, p4_descendants, p5_found, p5_counts)
+    f.__name__: f for f in (p3_found, p4_found, p4_paths, p4_descendants, p5_found, p5_counts, p5_stepwise)
 }
 
 _TREE = """
@@ -132,6 +145,7 @@ SQL = {
     + """select file_id, chain[i] as ancestor, ordinal, depth - i + 1 as distance
          from trees, unnest(range(1, depth + 1)) as u(i) where depth > 0""",
     "p5_found": _CHANGES + "select snapshot_no, repo_id, path, change from changes",
+    "p5_stepwise": _CHANGES + "select snapshot_no, repo_id, path, change from changes",
     "p5_counts": _CHANGES
     + """select repo_id, snapshot_no, count(*) filter (change = 'added') as added,
                 count(*) filter (change = 'modified') as modified, count(*) filter (change = 'deleted') as deleted

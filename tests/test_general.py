@@ -188,10 +188,59 @@ def test_snapshots_against_brute_force(spark):
     assert changes(spark, rows, deliveries, 3) == sorted(want)
 
 
-def test_ordinals_persist(spark):
-    keys = lambda *p: spark.createDataFrame([(1, x) for x in p], "repo_id long, path string")
-    first = snapshots.assign_ordinals(keys("b", "a", "./a"), blocks=2)
-    before = {r["path"]: r["ordinal"] for r in first.collect()}
-    after = {(r["path"]): (r["block"], r["ordinal"]) for r in snapshots.assign_ordinals(keys("c", "a", "d"), first, blocks=2).collect()}
-    assert set(after) == {"a", "b", "c", "d"} and len(set(after.values())) == 4
-    assert all(after[p][1] == n for p, n in before.items())
+def test_deliveries_one_by_one(spark):
+    """The kept state gives what all deliveries together give, and ordinals stay as they are."""
+    rng = random.Random(8)
+    rows, deliveries = [], []
+    for repo in (1, 2, 3):
+        for n in range(1, 6):
+            if repo == 3 and n < 3 or rng.random() < 0.1:
+                continue
+            deliveries.append((n, repo, "complete" if rng.random() < 0.7 else "partial", at(n)))
+            if not (repo == 2 and n == 4):
+                rows += [(n, repo, f"./d//p{k}", None, None, rng.choice(["a", "B", None]), at(1)) for k in range(30) if rng.random() < 0.7]
+    rows += rows[:10]
+    state, got, before = None, [], {}
+    for n in range(1, 6):
+        so_far = spark.createDataFrame([d for d in deliveries if d[0] <= n], DELIVERY)
+        part = spark.createDataFrame([r for r in rows if r[0] == n], SNAP)
+        changed, state = snapshots.apply_delivery(state, part, so_far, n, blocks=3)
+        got += [tuple(r) for r in changed.collect()]
+        now = {(r["repo_id"], r["block"]): r["paths"] for r in state.collect()}
+        assert all(now[k][:len(p)] == p for k, p in before.items())
+        before = now
+    assert sorted(got) == changes(spark, rows, deliveries, 2) and got
+    assert snapshots.apply_delivery(state, part.limit(0), so_far, 9)[0].count() == 0
+
+
+def test_changes_go_through_ordinals_and_bitmaps(monkeypatch):
+    import pandas as pd
+
+    used = []
+    of = snapshots.Bitmap.and_not
+    monkeypatch.setattr(snapshots.Bitmap, "and_not", lambda a, b: used.append(1) or of(a, b))
+    pdf = pd.DataFrame({"rank": [0, 1, 1], "snapshot_no": [1, 2, 2], "next_no": [2, None, None], "path": ["b", "a", "b"], "value": ["x", "y", None]})
+    got = snapshots._block_changes((7, 0), pdf)
+    assert sorted(zip(got["snapshot_no"], got["path"], got["change"])) == [(2, "a", "added"), (2, "b", "modified")] and used
+    block = snapshots.Block()
+    block.step(["b"], [None])
+    block.step(["a", "b"], [None, "v"])
+    assert block.ordinal == {"b": 0, "a": 1}
+
+
+def test_bitmaps():
+    import numpy as np
+    from graphloom.operators.bitmaps import ARRAY, BITS, RUNS, Bitmap
+
+    rng = np.random.default_rng(3)
+    sets = [np.zeros(0, int), np.arange(200_000), rng.choice(300_000, 100, False), rng.choice(140_000, 90_000, False), np.array([0, 65535, 65536, 1 << 33]), np.arange(60_000, 70_000)]
+    kinds = set()
+    for x in sets:
+        a = Bitmap.of(x)
+        kinds |= {k for k, _ in a.parts.values()}
+        assert np.array_equal(Bitmap.from_bytes(a.to_bytes()).members(), np.sort(x)) and len(a) == len(x)
+        for y in sets:
+            b = Bitmap.of(y)
+            assert np.array_equal((a & b).members(), np.intersect1d(x, y))
+            assert np.array_equal(a.and_not(b).members(), np.setdiff1d(x, y))
+    assert kinds == {ARRAY, BITS, RUNS} and len(Bitmap.of(np.arange(1_000_000)).to_bytes()) < 500
