@@ -41,6 +41,18 @@ def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.judge(read_table(spark, sf_dir, "source_files"), read_table(spark, sf_dir, "repos"))
 
 
+def p6_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files each kind of evidence finds, and how many no other one does."""
+    from pyspark.sql import functions as F
+
+    kinds = ["by_comment", "by_layout", "by_path", "by_tree"]
+    rows = p6_kinds(spark, sf_dir).select(
+        F.expr(" + ".join(f"int({k})" for k in kinds)).alias("n"),
+        F.explode(F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in kinds]))).alias("evidence"),
+    )
+    return rows.groupBy("evidence").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("n") == 1).alias("alone"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"))
 
@@ -61,7 +73,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_failures, p1_rates, p2_found, p2_scores, p6_found, p6_kinds, p7_ids, p8_mix, p8_report)
+    for f in (p1_found, p1_failures, p1_rates, p2_found, p2_scores, p6_found, p6_kinds, p6_evidence, p7_ids, p8_mix, p8_report)
 }
 
 

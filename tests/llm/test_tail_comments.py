@@ -24,12 +24,12 @@ def test_trailing_marks(kind):
     tails = [f"{lead} {MARK}\n", f"\n{lead} note\n{lead} {MARK}", f"{lead} {MARK}\n" + f"{lead} note\n" * 200]
     tails += [f"/*\n * {MARK}\n */\n"] if lead == "//" else []
     name = f"src/a.{kind}" if kind != "unknown" else "src/a"
-    assert handwritten.text_rules(name, code) == 0
+    assert handwritten.text_rules(name, code)[0] == 0
     for tail in tails:
         for text in (code + tail, "\ufeff" + (code + tail).replace("\n", "\r\n")):
-            assert handwritten.text_rules(name, text) == handwritten.GENERATED, tail
-    assert handwritten.text_rules(name, f"{code}{lead} {MARK}\n{code}") == 0
-    assert handwritten.text_rules(name, f"{code}{lead} Scaffolded once with tool, maintained by hand since.\n") == 0
+            assert handwritten.text_rules(name, text)[0] == handwritten.GENERATED | handwritten.COMMENT, tail
+    assert handwritten.text_rules(name, f"{code}{lead} {MARK}\n{code}")[0] == 0
+    assert handwritten.text_rules(name, f"{code}{lead} Scaffolded once with tool, maintained by hand since.\n")[0] == 0
 
 
 @pytest.mark.parametrize("name,text", [
@@ -41,7 +41,7 @@ def test_trailing_marks(kind):
     ("a.rs", "const A: &str = \"\n// @generated by x\n"), ("a.py", "x = 1  # @generated by x\n"),
 ])
 def test_strings_at_the_end(name, text):
-    assert handwritten.text_rules(name, text) == 0
+    assert handwritten.text_rules(name, text)[0] == 0
 
 
 def test_less_indented_comment_after_a_scalar():
@@ -49,7 +49,7 @@ def test_less_indented_comment_after_a_scalar():
 
 
 def test_long_head():
-    assert handwritten.text_rules("a.py", "# note\n" * 100 + f"# {MARK}\n" + VARIED["py"]) == handwritten.GENERATED
+    assert handwritten.text_rules("a.py", "# note\n" * 100 + f"# {MARK}\n" + VARIED["py"])[0] == handwritten.GENERATED | handwritten.COMMENT
 
 
 def test_judge(spark):
