@@ -1,10 +1,11 @@
 """Parent-child rows to full hierarchies by pointer doubling.
 
-Every node starts with a pointer to its parent. A round joins each open node to the
-node it points at and takes over that node's pointer, so the distance covered doubles:
-a tree of depth d is resolved after about log2(d) rounds, whatever its shape. A node
-still open when the covered distance exceeds the number of nodes of its group can never
-reach a root: it is in a cycle or hangs below one.
+Only nodes that are somebody's parent take part in the rounds. Each has a pointer to its
+parent; a round joins each open node to the node it points at and takes over that node's
+pointer, so the distance covered doubles: a tree of depth d is resolved after about log2(d)
+rounds, whatever its shape. A node still open when the covered distance exceeds the number
+of nodes of its group can never reach a root: it is in a cycle or hangs below one. At the
+end every node takes root, depth and path from its parent in one join.
 
 Nulls and edge cases
 * a null parent, or one that is no node of the group, makes the node a root;
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import cut
+from graphloom.runtime import BROADCAST_ROWS, cut
 
 
 def resolve(
@@ -31,84 +32,75 @@ def resolve(
     parent: str,
     segment: str | None = None,
     max_group: int | None = None,
+    checked: bool = False,
 ) -> DataFrame:
     """(group, node, parent, root, depth[, chain, path]) for every node.
 
     ``segment``: the column with the path segment of a node; then ``path`` is the array
     of segments from the root to the node and ``chain`` the array of ids along it.
     ``max_group``: a bound on the nodes of one group, counted here if not given.
+    ``checked``: nodes are known to be distinct, without nulls, and their parents nodes.
     """
     cols = [F.col(group).alias("g"), F.col(node).alias("id"), F.col(parent).alias("p")]
     if segment:
         cols.append(F.coalesce(F.col(segment).cast("string"), F.lit("")).alias("s"))
-    base = nodes.select(*cols).filter(F.col("g").isNotNull() & F.col("id").isNotNull())
-    agg = [F.min("p").alias("p")] + ([F.min_by("s", F.struct("p", "s")).alias("s")] if segment else [])
-    base = cut(base.groupBy("g", "id").agg(*agg))
+    base = nodes.select(*cols)
+    if not checked:
+        agg = [F.min("p").alias("p")] + ([F.min_by("s", F.struct("p", "s")).alias("s")] if segment else [])
+        base = base.filter(F.col("g").isNotNull() & F.col("id").isNotNull()).groupBy("g", "id").agg(*agg)
+    base = cut(base)
+    if not checked:
+        # A parent that is no node is none.
+        ids = base.select("g", F.col("id").alias("p"), F.lit(True).alias("known"))
+        base = base.join(ids, ["g", "p"], "left").withColumn("p", F.when(F.col("known"), F.col("p"))).drop("known")
     if max_group is None:
         max_group = base.groupBy("g").count().agg(F.max("count")).first()[0] or 1
 
-    # A parent that is no node is none. Only nodes that are somebody's parent are
-    # ever looked up, so the right-hand side of every round excludes the leaves.
-    ids = base.select("g", F.col("id").alias("p"), F.lit(True).alias("known"))
-    linked = base.join(ids, ["g", "p"], "left")
-    step = F.when(F.col("known") & F.col("p").isNotNull(), F.col("p"))
-    start = [
-        F.col("g"),
-        F.col("id"),
-        step.alias("p"),
-        F.coalesce(step, F.col("id")).alias("to"),
-        F.when(step.isNotNull(), 1).otherwise(0).cast("long").alias("d"),
-        step.isNull().alias("done"),
-    ]
-    if segment:
-        start += [F.array("s").alias("path"), F.array("id").alias("chain")]
-    state = cut(linked.select(*start))
-    inner = state.filter(F.col("p").isNotNull()).select("g", F.col("p").alias("id")).distinct()
-
+    # The inner nodes with pointers of distance one.
+    held = base.filter(F.col("p").isNotNull())
+    inner = held.select("g", F.col("p").alias("id")).distinct()
     extra = ["path", "chain"] if segment else []
-    finished = []
-    rounds = max(1, math.ceil(math.log2(max(2, max_group))) + 1)
-    upper = cut(state.join(inner, ["g", "id"], "left_semi"))
-    lower = state.join(inner, ["g", "id"], "left_anti")
-    # First the inner nodes among themselves, then the leaves in one join.
-    finished.append(upper.filter("done"))
-    solved, open_ = upper.filter("done"), upper.filter("not done")
-    for _ in range(rounds):
+    own = [F.array("s").alias("path"), F.array("id").alias("chain")] if segment else []
+    solved, open_, left = None, None, 0
+    state = cut(
+        base.join(inner, ["g", "id"], "left_semi").select(
+            "g", "id", F.coalesce("p", "id").alias("to"), F.col("p").isNotNull().cast("long").alias("d"), F.col("p").isNull().alias("done"), *own
+        )
+    )
+    solved, open_ = state.filter("done"), state.filter("not done")
+    left = open_.count()
+    for _ in range(max(1, math.ceil(math.log2(max(2, max_group))) + 1)):
+        if not left:
+            break
         table = solved.unionByName(open_).select(
             "g", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"),
             F.col("done").alias("done2"), *[F.col(c).alias(f"{c}2") for c in extra],
         )
-        moved = open_.join(table, ["g", "to"]).select(
-            "g", "id", "p", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d"),
+        # With few open nodes left they travel to the table and not the table to them.
+        few = left <= BROADCAST_ROWS
+        moved = table.join(F.broadcast(open_) if few else open_, ["g", "to"]).select(
+            "g", "id", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d"),
             F.col("done2").alias("done"), *[F.concat(f"{c}2", c).alias(c) for c in extra],
         )
-        moved = cut(moved)
-        if moved.isEmpty():
-            open_ = moved
-            break
-        solved = solved.unionByName(moved.filter("done"))
-        open_ = moved.filter("not done")
-        if open_.isEmpty():
-            break
+        # The join has the table's partitions, of which few then hold a row.
+        moved = cut(moved.repartition(8) if few else moved)
+        solved, open_ = solved.unionByName(moved.filter("done")), moved.filter("not done")
+        left = open_.count()
     endless = open_.select(
-        "g", "id", "p", F.lit(None).cast(base.schema["id"].dataType).alias("to"), F.lit(-1).cast("long").alias("d"),
+        "g", "id", F.lit(None).cast(state.schema["to"].dataType).alias("to"), F.lit(-1).cast("long").alias("d"),
         F.lit(True).alias("done"), *[F.lit(None).cast(state.schema[c].dataType).alias(c) for c in extra],
     )
-    inner_done = solved.unionByName(endless)
-    table = inner_done.select(
-        "g", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"),
-        *[F.col(c).alias(f"{c}2") for c in extra],
+    above = (solved.unionByName(endless) if left else solved).select(
+        "g", F.col("id").alias("p"), F.col("to").alias("root"), F.col("d").alias("d2"), *[F.col(c).alias(f"{c}2") for c in extra]
     )
-    lone = lower.filter("done")
-    hung = lower.filter("not done").join(table, ["g", "to"]).select(
-        "g", "id", "p", F.col("to2").alias("to"),
-        F.when(F.col("d2") < 0, F.lit(-1)).otherwise(F.col("d") + F.col("d2")).cast("long").alias("d"),
-        F.lit(True).alias("done"), *[F.concat(f"{c}2", c).alias(c) for c in extra],
+    zero = F.lit(0).cast("long")
+    roots = base.filter(F.col("p").isNull()).select("g", "id", "p", F.col("id").alias("root"), zero.alias("depth"), *own)
+    below = held.join(above, ["g", "p"]).select(
+        "g", "id", "p", "root", F.when(F.col("d2") < 0, F.lit(-1)).otherwise(F.col("d2") + 1).cast("long").alias("depth"),
+        *[F.concat(f"{c}2", F.array(x)).alias(c) for c, x in zip(extra, ("s", "id"))],
     )
-    out = inner_done.unionByName(lone).unionByName(hung)
-    return out.select(
-        F.col("g").alias(group), F.col("id").alias(node), F.col("p").alias("parent"),
-        F.col("to").alias("root"), F.col("d").alias("depth"), *extra,
+    return roots.unionByName(below).select(
+        F.col("g").alias(group), F.col("id").alias(node), F.col("p").alias("parent"), "root", "depth", *extra
     )
 
 
@@ -170,23 +162,19 @@ def symbol_parents(extracted: DataFrame) -> DataFrame:
         F.when((listed >= 0) & (listed < F.col("n")), listed).cast("long").alias("listed"),
         F.get("containers", F.col("ordinal")).alias("container"),
     )
-    rows = cut(rows)
     named = (
         rows.filter(F.col("kind").isin(*CONTAINER_KINDS) & F.col("name").isNotNull())
         .groupBy("file_id", F.col("name").alias("container"))
         .agg(F.min("ordinal").alias("by_name"))
     )
-    sure = rows.filter(F.col("listed").isNotNull() | F.col("container").isNull())
-    asked = rows.filter(F.col("listed").isNull() & F.col("container").isNotNull()).join(
-        named, ["file_id", "container"], "left"
-    )
-    cols = ["file_id", "ordinal", "name", "kind"]
-    return sure.select(*cols, F.col("listed").alias("parent")).unionByName(
-        asked.select(*cols, F.col("by_name").alias("parent"))
+    # Whoever has a listed parent asks for no name: a null key meets nothing in the join.
+    rows = rows.withColumn("container", F.when(F.col("listed").isNull(), F.col("container")))
+    return rows.join(named, ["file_id", "container"], "left").select(
+        "file_id", "ordinal", "name", "kind", F.coalesce("listed", "by_name").alias("parent")
     )
 
 
 def symbol_trees(extracted: DataFrame, paths: bool = False) -> DataFrame:
     """The hierarchy of the symbols of every file; see :func:`resolve`."""
     rows = symbol_parents(extracted)
-    return resolve(rows, "file_id", "ordinal", "parent", segment="name" if paths else None)
+    return resolve(rows, "file_id", "ordinal", "parent", segment="name" if paths else None, checked=True)
