@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import hierarchy, incremental, snapshots
-from graphloom.runtime import read_table
+from graphloom.runtime import checkpoint_dir, read_table
 
 CURRENT_STAMP = "xg-6"
 
@@ -17,6 +19,39 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return work.select("file_id")
 
 
+def p3_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target after two runs with a failing one between: (file_id, hash, run that made it).
+
+    The first run sees the scans of the first half of the time, the second all of them; the
+    one between writes its rows and dies before it publishes.
+    """
+    root = f"{checkpoint_dir(spark)}/p3-target-{uuid.uuid4().hex[:8]}"
+    target = incremental.VersionedTarget(spark, root, "file_id", order="scanned_at")
+    scans = (
+        read_table(spark, sf_dir, "files")
+        .filter(F.col("hash").isNotNull() & F.col("scanned_at").isNotNull())
+        .select("file_id", F.lower("hash").alias("version"), "scanned_at")
+    )
+    low, high = scans.agg(F.min(F.unix_micros(F.col("scanned_at").cast("timestamp"))), F.max(F.unix_micros(F.col("scanned_at").cast("timestamp")))).first()
+    early = scans if low is None else scans.filter(F.unix_micros(F.col("scanned_at").cast("timestamp")) <= low + (high - low) // 2)
+    target.publish(target.pending(early).withColumn("run", F.lit(1)))
+
+    class Lost(Exception):
+        pass
+
+    def dies(_entry):
+        raise Lost
+
+    target._commit, commit = dies, target._commit
+    try:
+        target.publish(target.pending(scans).withColumn("run", F.lit(9)))
+    except Lost:
+        target._commit = commit
+    target.publish(target.pending(scans).withColumn("run", F.lit(2)))
+    target.publish(target.pending(scans).withColumn("run", F.lit(3)))  # finds nothing left
+    return target.current().select("file_id", F.col("version").alias("hash"), "run")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = hierarchy.symbol_trees(read_table(spark, sf_dir, "extracted"))
     return trees.filter(F.col("parent").isNotNull()).select(
@@ -65,7 +100,7 @@ def p5_stepwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p3_found, p4_found, p4_paths, p4_descendants, p5_found, p5_counts, p5_stepwise)
+    f.__name__: f for f in (p3_found, p3_target, p4_found, p4_paths, p4_descendants, p5_found, p5_counts, p5_stepwise)
 }
 
 _TREE = """
@@ -138,6 +173,15 @@ SQL = {
         select c.file_id from cur c left join done d using (file_id)
         where d.file_id is null or d.h <> c.h or d.s is distinct from 'xg-6'
     """,
+    "p3_target": """
+        with scans as (
+          select file_id, lower(hash) as h, scanned_at as seen from files where hash is not null and scanned_at is not null and file_id is not null
+        ), cut as (
+          select min(epoch_us(seen)) + (max(epoch_us(seen)) - min(epoch_us(seen))) // 2 as t from scans
+        ), last as (select file_id, max(struct_pack(seen := seen, h := h)).h as h from scans group by 1),
+        early as (select file_id, max(struct_pack(seen := seen, h := h)).h as h from scans, cut where epoch_us(seen) <= t group by 1)
+        select l.file_id, l.h as hash, case when l.h = e.h then 1 else 2 end as run from last l left join early e using (file_id)
+    """,
     "p4_found": _TREE
     + "select file_id, ordinal, coalesce(root, -1) as root_ordinal, depth from trees where parent is not null",
     "p4_paths": _TREE + "select file_id, ordinal, parent, root, depth, path from trees",

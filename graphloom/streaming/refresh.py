@@ -1,7 +1,7 @@
 """Incremental extraction as a stream: files arrive as rows, extractions are published.
 
 Each micro batch keeps the newest row of a file, drops those whose version the target
-already has, extracts the rest and publishes a new target version atomically. A batch
+already has, and late rows, which are older than what the target holds, extracts the rest and publishes a new target version atomically. A batch
 that is replayed after a failure finds its own rows in the target and does nothing, so
 the result is exactly-once although the stream is at-least-once.
 """
@@ -23,12 +23,11 @@ SCHEMA = "file_id bigint, lang string, text string, hash string, scanned_at time
 def refresh_batch(batch: DataFrame, target: VersionedTarget, stamp: str = EXTRACTOR_STAMP) -> int:
     """Extract what is new or changed in a batch and publish it; returns the number of files."""
     known = batch.filter(F.col("file_id").isNotNull() & F.col("hash").isNotNull())
-    newest = known.groupBy("file_id").agg(F.max(F.struct("scanned_at", "hash", "lang", "text")).alias("m"))
-    rows = newest.select("file_id", "m.lang", "m.text", F.concat_ws("|", F.lower("m.hash"), F.lit(stamp)).alias("version"))
+    rows = known.select("file_id", "lang", "text", "scanned_at", F.concat_ws("|", F.lower("hash"), F.lit(stamp)).alias("version"))
     work = cut(target.pending(rows))
     n = work.count()
     if n:
-        target.publish(extract_files(work, keep=("file_id", "version")))
+        target.publish(extract_files(work, keep=("file_id", "version", "scanned_at")))
     return n
 
 

@@ -215,7 +215,7 @@ def test_streaming_refresh_is_exactly_once(spark, tmp_path):
     from graphloom.operators.incremental import VersionedTarget
     from graphloom.streaming import refresh
 
-    target = VersionedTarget(spark, str(tmp_path / "t"), "file_id")
+    target = VersionedTarget(spark, str(tmp_path / "t"), "file_id", order="scanned_at")
     rows = lambda *r: spark.createDataFrame([(*x, dt.datetime(2025, 1, 1)) for x in r], refresh.SCHEMA).coalesce(1)
     rows((1, "python", "def a(): pass\n", "h1"), (2, "python", "x = 1\n", "h2")).write.parquet(str(tmp_path / "in"))
     refresh.start(spark, str(tmp_path / "in"), target, str(tmp_path / "c")).awaitTermination()
@@ -225,3 +225,18 @@ def test_streaming_refresh_is_exactly_once(spark, tmp_path):
     now = {r["file_id"]: [s["name"] for s in r["symbols"]] for r in target.current().collect()}
     assert now == {1: ["b"], 2: []}
     assert refresh.refresh_batch(spark.read.parquet(str(tmp_path / "in")).filter("hash <> 'h1'"), target) == 0
+
+
+def test_late_scans_do_not_overwrite_newer_ones(spark, tmp_path):
+    import datetime as dt
+
+    from graphloom.operators.incremental import VersionedTarget
+    from graphloom.streaming import refresh
+
+    target = VersionedTarget(spark, str(tmp_path / "t"), "file_id", order="scanned_at")
+    batch = lambda h, day: spark.createDataFrame([(1, "python", f"def {h}(): pass\n", h, dt.datetime(2025, 1, day))], refresh.SCHEMA)
+    assert refresh.refresh_batch(batch("b", 2), target) == 1
+    assert refresh.refresh_batch(batch("a", 1), target) == 0
+    assert [r["version"].split("|")[0] for r in target.current().collect()] == ["b"]
+    assert refresh.refresh_batch(batch("c", 3), target) == 1
+    assert [(r["version"].split("|")[0], r["symbols"][0]["name"]) for r in target.current().collect()] == [("c", "c")]

@@ -62,7 +62,7 @@ def test_target_survives_a_crash_between_writing_and_publishing(spark, tmp_path,
         raise OSError("lost")
 
     with monkeypatch.context() as m:
-        m.setattr(target, "_swap", dies)
+        m.setattr(target, "_commit", dies)
         with pytest.raises(OSError):
             target.publish(todo)
     assert sorted((r["id"], r["version"]) for r in target.current().collect()) == [(1, "a"), (2, "b")]
@@ -72,12 +72,46 @@ def test_target_survives_a_crash_between_writing_and_publishing(spark, tmp_path,
     assert target.pending(changed).isEmpty()  # nothing repeated
 
 
-def test_second_publisher_is_refused(spark, tmp_path):
-    one = incremental.VersionedTarget(spark, str(tmp_path / "t"), "id")
-    rows = spark.createDataFrame([(1, "a")], "id long, version string")
-    one.publish(rows)
+def test_of_two_publishers_one_is_refused(spark, tmp_path, monkeypatch):
+    """The second one looks before the first has published and publishes after it."""
+    one, two = (incremental.VersionedTarget(spark, str(tmp_path / "t"), "id") for _ in range(2))
+    row = lambda k: spark.createDataFrame([(k, "a")], "id long, version string")
+    one.publish(row(1))
+    commit = two._commit
+    monkeypatch.setattr(two, "_commit", lambda entry: (one.publish(row(2)), commit(entry)))
     with pytest.raises(RuntimeError):
-        one._swap(None, {"number": 9, "name": "x"})
+        two.publish(row(3))
+    assert sorted(r["id"] for r in one.current().collect()) == [1, 2]
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("d-")]) == 2
+
+
+def test_repeated_and_late_rows_of_a_source(spark, tmp_path):
+    target = incremental.VersionedTarget(spark, str(tmp_path / "t"), "id", order="at")
+    src = lambda *r: spark.createDataFrame(list(r), "id long, version string, at long, m map<string,int>")
+    first = target.pending(src((1, "a", 1, {}), (1, "a", 1, None), (1, "b", 2, None), (2, "x", None, None), (2, "w", None, None)))
+    assert sorted((r["id"], r["version"]) for r in first.collect()) == [(1, "b"), (2, "x")]
+    target.publish(first)
+    again = src((1, "a", 1, None), (1, "z", 2, None), (2, "y", 1, None), (2, "x", 5, None), (3, "q", None, None))
+    # Of 2 the newest row has the version held; of 1 no row is newer.
+    assert sorted((r["id"], r["version"]) for r in target.pending(again).collect()) == [(3, "q")]
+    assert sorted((r["id"], r["version"]) for r in target.pending(again.filter("version <> 'x'")).collect()) == [(2, "y"), (3, "q")]
+
+
+def test_runs_write_what_they_change_and_old_folders_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental.VersionedTarget, "MAX_PARTS", 3)
+    target = incremental.VersionedTarget(spark, str(tmp_path / "t"), "id")
+    rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "id long, version string").coalesce(1)
+    target.publish(rows(range(50), "a"))
+    want = {i: "a" for i in range(50)}
+    for k in range(1, 8):
+        target.publish(rows([k, 100 + k], f"v{k}"))
+        want |= {k: f"v{k}", 100 + k: f"v{k}"}
+        part = next(p for p in (tmp_path / "t").iterdir() if p.name.startswith(f"d-{k + 1:010d}"))
+        assert spark.read.parquet(str(part)).count() == 2
+        assert {r["id"]: r["version"] for r in target.current().collect()} == want
+    assert len(target._numbers()) == target.KEEP
+    needed = {p for n in target._numbers() for p in target._read(n)["parts"]}
+    assert {p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith("_")} == needed
 
 
 def brute_tree(parents):
