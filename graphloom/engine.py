@@ -105,11 +105,13 @@ class Repository:
         t = self.store.table(self.root, name)
         if t is None:
             raise NotIndexed(f"{self.root} is not indexed")
+        if not self.store.stamp_current(self.root):
+            raise NotIndexed(f"the index of {self.root} was made by another extractor")
         return t
 
-    def _texts(self, paths: list[str] | None = None) -> DataFrame:
-        """Live texts of the indexed files (of ``paths``), with their file_id."""
-        files = self._table("files").select("file_id", "path")
+    def _texts(self, paths: list[str] | None = None, scope: str | None = None) -> DataFrame:
+        """Live texts of the indexed files (of ``paths``, or in a scope), with their file_id."""
+        files = self._table("files").select("file_id", "path").filter(T.path_in_scope(F.col("path"), scope))
         if paths is not None:
             files = files.filter(F.col("path").isin(paths))
         live = scan.read_files(self.spark, self.root, [r["path"] for r in files.select("path").toLocalIterator()])
@@ -128,6 +130,8 @@ class Repository:
         m = self.store.manifest(self.root)
         if m is None:
             return {"root": self.root, "indexed": False}
+        if not self.store.stamp_current(self.root):
+            return {"root": self.root, "indexed": False, "stamp": m["extractor_stamp"], "indexed_at": m["indexed_at"]}
         row = rank.status(self._table("files"), self._table("symbols"), self._table("edges")).first()
         counts = row.asDict() if row else {"files": 0, "symbols": 0, "edges": 0}
         counts.pop("repo_id", None)
@@ -143,7 +147,7 @@ class Repository:
                 hits = [{**r, "score": 1.0 / r["depth"]} for r in got["reached"]][: max(1, limit)]
                 return {"mode": "structural-callees" if outgoing else "structural-callers", "hits": hits}
             note = f"no {'callees' if outgoing else 'callers'} of {name!r} are known; ranked by words instead"
-        if not T.query_terms(query):
+        if not T.query_terms(query, self.spark):
             return {"mode": "empty", "hits": [], "note": note}
         symbols = self._table("symbols").filter(F.col("kind") != "module")
         docs = (
@@ -167,8 +171,9 @@ class Repository:
     def grep(self, pattern: str, fixed: bool = False, ignore_case: bool = False, scope: str | None = None) -> dict:
         T.pattern(pattern, fixed, ignore_case)  # a bad pattern fails before anything runs
         files = self._table("files").filter(T.path_in_scope(F.col("path"), scope))
-        texts = cut(self._texts().filter(T.path_in_scope(F.col("path"), scope)))
-        hits = search.matching_lines(texts, pattern, fixed, ignore_case)
+        # Files are searched as they are read; only their matching lines are kept.
+        found = cut(search.matches_by_file(self._texts(scope=scope), pattern, fixed, ignore_case))
+        hits = found.select("file_id", "path", F.explode("lines").alias("x")).select("file_id", "path", "x.line", "x.text")
         groups = search.grouped(hits, self._table("symbols"), self._table("edges"))
         rows = groups.orderBy(F.desc("in_edges"), "path", F.coalesce("start_line", F.lit(0))).collect()
         out = [
@@ -176,7 +181,7 @@ class Repository:
              "lines": [{"line": x["line"], "text": x["text"]} for x in r["lines"]]}
             for r in rows
         ]
-        return {"total": sum(len(g["lines"]) for g in out), "groups": out, "unreadable": files.count() - texts.count()}
+        return {"total": sum(len(g["lines"]) for g in out), "groups": out, "unreadable": files.count() - found.count()}
 
     def callers(self, symbol: str, outgoing: bool = False, depth: int | None = 1, scope: str | None = None) -> dict:
         symbols, edges, files = self._table("symbols"), self._table("edges"), self._table("files")

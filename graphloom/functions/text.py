@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Words that never count as terms.
@@ -30,13 +33,9 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(t, " "), lambda w: (F.octet_length(w) > 1) & ~F.array_contains(stop, w))
 
 
-def query_terms(query: str) -> list[str]:
-    """The same on the driver, for the few words of a question."""
-    import re
-
-    spaced = re.sub(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])", " ", query)
-    words = re.split(r"[\W_]+", spaced.lower())
-    return [w for w in words if len(w.encode()) > 1 and w not in STOPWORDS]
+def query_terms(query: str, spark: SparkSession) -> list[str]:
+    """Terms of a question, by the same function on one row."""
+    return spark.range(1).select(terms(F.lit(query))).first()[0]
 
 
 def path_in_scope(path: Column, scope: str | None) -> Column:
@@ -63,8 +62,8 @@ def is_test_path(path: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    """Language by extension; declaration files and unknown extensions have none."""
-    ext = F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)
+    """Language by extension; declaration files, unknown extensions and names that are all extension have none."""
+    ext = F.regexp_extract(path, r"[^/]\.([A-Za-z0-9]+)$", 1)
     return (
         F.when((ext == "ts") & ~path.endswith(".d.ts"), "typescript")
         .when(ext == "tsx", "tsx")
@@ -80,10 +79,16 @@ def language(path: Column) -> Column:
 def shebang_language(path: Column, head: Column) -> Column:
     """Shell for files without extension whose first line names one."""
     first = F.lower(F.substring_index(F.substring(head, 1, 256), "\n", 1))
-    bare = ~F.substring_index(path, "/", -1).contains(".")
+    bare = F.substring_index(path, "/", -1).rlike(r"^\.?[^.]*$")
     return F.when(bare & first.startswith("#!") & first.rlike(r"[/ ](ba|da|k)?sh"), "shell")
 
 
+def first_bytes(text: Column, most: int) -> Column:
+    """At most so many bytes of UTF-8, cut between characters."""
+    head = F.make_valid_utf8(F.substring(text.cast("binary"), 1, most).cast("string"))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(head, "\ufffd+$", ""))
+
+
 def top_dir(path: Column) -> Column:
     """``head/`` of a path, or ``.`` for a file at the root."""
     return F.when(F.instr(path, "/") > 0, F.concat(F.substring_index(path, "/", 1), F.lit("/"))).otherwise(".")
@@ -91,8 +96,8 @@ def top_dir(path: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their ends; a final line end opens no further line, an empty text has none."""
-    parts = F.split(text, r"\r?\n")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    none = F.array().cast("array<string>")
+    return F.when(text == "", none).otherwise(F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n"))
 
 
 def excerpt(text: Column, start: Column, end: Column, full: bool = False, most: int = 8) -> Column:
@@ -147,9 +152,11 @@ def pattern(text: str, fixed: bool = False, ignore_case: bool = False) -> str:
     else:
         if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]", text):
             raise ValueError(f"look-around and back-references are not supported: {text!r}")
+        jvm = SparkContext._active_spark_context._jvm
         try:
-            re.compile(text)
-        except re.error as e:
+            # The one that will run it decides.
+            jvm.java.util.regex.Pattern.compile(text)
+        except (Py4JJavaError, IllegalArgumentException) as e:
             raise ValueError(f"invalid pattern {text!r}: {e}") from None
         body = text
     return f"(?i){body}" if ignore_case else body

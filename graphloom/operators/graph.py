@@ -13,9 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from graphloom.functions import text as T
 from graphloom.schema import EXTRACT, SYMBOLS_PER_FILE
@@ -26,19 +28,22 @@ NODE_KINDS = ("file", "module")
 def extract_files(files: DataFrame, keep: tuple[str, ...] = ("file_id",), lang: str = "lang", body: str = "text") -> DataFrame:
     """The columns ``keep`` and the extraction of each file: a map over rows."""
     kinds = ", ".join(f"{c} {files.schema[c].dataType.simpleString()}" for c in keep)
+    schema = to_arrow_schema(StructType.fromDDL(EXTRACT))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from graphloom.extract import extract
 
-        for pdf in batches:
-            rows = [extract(a, b) for a, b in zip(pdf["__lang"], pdf["__text"])]
-            out = pdf[list(keep)].reset_index(drop=True)
-            for c in ("symbols", "calls", "bindings", "containers", "parents", "imports"):
-                out[c] = pd.Series([r[c] for r in rows], dtype=object)
-            yield out
+        for batch in batches:
+            langs, texts = batch.column("__lang"), batch.column("__text")
+            rows = [extract(langs[i].as_py(), texts[i].as_py()) for i in range(batch.num_rows)]
+            for r in rows:
+                if len(r["symbols"]) >= SYMBOLS_PER_FILE:
+                    raise ValueError(f"a file has {len(r['symbols'])} symbols; ids have room for {SYMBOLS_PER_FILE - 1}")
+            made = [pa.array([r[f.name] for r in rows], f.type) for f in schema]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made], names=[*keep, *schema.names])
 
     rows = files.select(*keep, F.col(lang).alias("__lang"), F.col(body).alias("__text"))
-    return rows.mapInPandas(run, f"{kinds}, {EXTRACT}")
+    return rows.mapInArrow(run, f"{kinds}, {EXTRACT}")
 
 
 def symbol_id(file_id: Column, ordinal: Column) -> Column:
@@ -60,7 +65,7 @@ def symbols_of(files: DataFrame, extracts: DataFrame) -> DataFrame:
         "repo_id", "file_id", symbol_id(F.col("file_id"), F.lit(-1)).alias("id"), F.lit(-1).alias("ordinal"),
         F.col("path").alias("name"), F.lit("file").alias("kind"), F.lit(1).cast("long").alias("start_line"),
         n_lines.cast("long").alias("end_line"), F.lit(None).cast("string").alias("signature"),
-        (F.substring("text", 1, 32 * 1024) if "text" in files.columns else F.lit(None).cast("string")).alias("summary"),
+        (T.first_bytes(F.col("text"), 32 * 1024) if "text" in files.columns else F.lit(None).cast("string")).alias("summary"),
         F.lit(None).cast("string").alias("container"),
     )
     return rows.unionByName(nodes)

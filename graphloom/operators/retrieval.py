@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.runtime import cut
 
 #: Fixed values of the ranking.
 NAME, PATH, SIGNATURE, BODY_CAP = 5.0, 2.5, 2.0, 3
@@ -42,47 +44,62 @@ def document_frequency(tf: DataFrame, key: str) -> DataFrame:
     return tf.select(key, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _has_any(text: Column, asked: list[str]) -> Column:
+    folded = F.lower(F.coalesce(text, F.lit("")))
+    out = folded.contains(asked[0])
+    for t in asked[1:]:
+        out = out | folded.contains(t)
+    return out
+
+
 def rank(docs: DataFrame, query: str, limit: int | None = 8, scope: str | None = None) -> DataFrame:
     """Documents (id, name, path, signature, body, start_line, in_edges) by score.
 
-    Only terms of the question are kept after the explode, so what is shuffled is one small
-    row per document that has any of them; document frequencies of those few terms are
-    broadcast. ``limit`` None: all scored documents.
+    One pass over the texts: documents without any term of the question leave by a plain
+    substring test before they are cut into terms, the others become one small row per term
+    with all that ranking needs, kept once. From then on only those rows are read; the
+    document frequencies of the few terms come to the driver. ``limit`` None: all scored
+    documents.
     """
-    wanted = T.query_terms(query)
+    wanted = T.query_terms(query, docs.sparkSession)
     docs = docs.filter(T.in_scope(F.col("path"), scope))
     if not wanted:
         return docs.limit(0).select("id", "name", "path", "start_line", F.lit(0.0).alias("score"))
     total = max(1, docs.count())
-    spark = docs.sparkSession
-    # A term of the question counts as often as it is there.
-    weights = spark.createDataFrame([(t, wanted.count(t)) for t in sorted(set(wanted))], "term string, times int")
-    asked = F.array(*[F.lit(t) for t in sorted(set(wanted))])
+    asked = sorted(set(wanted))
     fields = {"name": "name", "path": "path", "signature": "signature", "body": "body"}
+    # A term is a stretch of the folded text. Only for ASCII terms is folding sure not to look around.
+    plain = all(t.isascii() for t in asked)
 
     def counted(column: str):
-        return F.filter(T.terms(F.col(column)), lambda t: F.array_contains(asked, t))
-
-    slim = docs.select("id", *[counted(c).alias(f"__{f}") for f, c in fields.items()])
-    per = slim.select("id", F.explode(asked).alias("term"), *[f"__{f}" for f in fields]).select(
-        "id", "term", *[F.size(F.filter(f"__{f}", lambda t: t == F.col("term"))).alias(f) for f in fields]
-    )
-    hit = per.filter((F.col("name") + F.col("path") + F.col("signature") + F.col("body")) > 0)
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = weights.join(df, "term", "left").select(
-        "term", "times", (F.log((F.lit(total) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf")
-    )
-    possible = idf.agg(F.sum(F.col("idf") * F.col("times")).alias("possible"))
+        terms = T.terms(F.col(column))
+        return F.filter(terms, lambda t: t.isin(asked)) if not plain else F.when(_has_any(F.col(column), asked), F.filter(terms, lambda t: t.isin(asked)))
+
+    if plain:
+        docs_hit = docs.filter(F.greatest(*[_has_any(F.col(c), asked) for c in fields.values()]))
+    else:
+        docs_hit = docs
+    keep = ["id", "start_line", "in_edges", F.col("name").alias("__name"), F.col("path").alias("__path")]
+    slim = docs_hit.select(*keep, *[counted(c).alias(f"__t_{f}") for f, c in fields.items()])
+    tf = lambda f: F.coalesce(F.size(F.filter(f"__t_{f}", lambda t: t == F.col("term"))), F.lit(0))
+    per = slim.select("id", "start_line", "in_edges", "__name", "__path", F.explode(F.array(*map(F.lit, asked))).alias("term"), *[f"__t_{f}" for f in fields])
+    per = per.select("id", "start_line", "in_edges", "__name", "__path", "term", *[F.greatest(tf(f), F.lit(0)).alias(f) for f in fields])
+    hit = cut(per.filter((F.col("name") + F.col("path") + F.col("signature") + F.col("body")) > 0))
+    df = {r["term"]: r["n"] for r in hit.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # A term of the question counts as often as it is there.
+    idf = {t: math.log((total + 1.0) / (df.get(t, 0) + 1.0)) + 1.0 for t in asked}
+    possible = sum(idf[t] * wanted.count(t) for t in asked)
+    weight = F.element_at(F.create_map(*[x for t in asked for x in (F.lit(t), F.lit(idf[t] * wanted.count(t)))]), F.col("term"))
     amount = NAME * F.col("name") + PATH * F.col("path") + SIGNATURE * F.col("signature") + F.least("body", F.lit(BODY_CAP))
-    strong = F.when(F.col("name") + F.col("path") + F.col("signature") > 0, F.col("idf") * F.col("times")).otherwise(0.0)
-    scored = (
-        hit.join(F.broadcast(idf), "term")
-        .groupBy("id")
-        .agg(F.sum(F.col("idf") * F.col("times") * amount).alias("score"), F.sum(strong).alias("strong"))
-        .join(F.broadcast(possible))
-        .filter((F.col("score") > 0) & ~((F.col("strong") == 0) & (F.col("score") < WEAK * F.col("possible"))))
+    strong = F.when(F.col("name") + F.col("path") + F.col("signature") > 0, weight).otherwise(0.0)
+    out = (
+        hit.groupBy("id")
+        .agg(
+            F.sum(weight * amount).alias("score"), F.sum(strong).alias("strong"), F.first("__name").alias("name"),
+            F.first("__path").alias("path"), F.first("start_line").alias("start_line"), F.first("in_edges").alias("in_edges"),
+        )
+        .filter((F.col("score") > 0) & ~((F.col("strong") == 0) & (F.col("score") < WEAK * possible)))
     )
-    out = docs.select("id", "name", "path", "start_line", "in_edges").join(scored, "id")
     if not TEST_WORDS & set(wanted):
         out = out.withColumn("score", F.when(T.is_test_path(F.col("path")), F.col("score") * TEST_FACTOR).otherwise(F.col("score")))
     out = out.withColumn("score", F.col("score") * (1 + POPULARITY * F.log(F.coalesce("in_edges", F.lit(0)) + 1.0)))

@@ -27,6 +27,16 @@ def matching_lines(
     return found.filter(hit).select("file_id", "path", (F.col("at") + 1).cast("long").alias("line"), F.trim("text").alias("text"))
 
 
+def matches_by_file(files: DataFrame, pattern: str, fixed: bool = False, ignore_case: bool = False, scope: str | None = None) -> DataFrame:
+    """(file_id, path, lines): one row per file that could be read, its matching lines in an array, maybe none."""
+    p = T.pattern(pattern, fixed, ignore_case)
+    wanted = files.filter(T.path_in_scope(F.col("path"), scope)).filter(F.col("text").isNotNull())
+    hit = (lambda t: t.contains(pattern)) if fixed and not ignore_case else (lambda t: t.rlike(p))
+    numbered = F.transform(T.lines(F.col("text")), lambda t, i: F.struct((i + 1).cast("long").alias("line"), t.alias("text")))
+    lines = F.transform(F.filter(numbered, lambda x: hit(x["text"])), lambda x: F.struct(x["line"].alias("line"), F.trim(x["text"]).alias("text")))
+    return wanted.select("file_id", "path", lines.alias("lines"))
+
+
 def attribute(hits: DataFrame, spans: DataFrame) -> DataFrame:
     """Adds ``symbol`` (id or null): the narrowest span around the line, equal ones by id.
 
@@ -43,7 +53,9 @@ def attribute(hits: DataFrame, spans: DataFrame) -> DataFrame:
         "fits", F.col("line").between(F.col("start_line"), F.col("end_line"))
     )
     key = F.when(F.col("fits"), F.struct((F.col("end_line") - F.col("start_line")).alias("w"), F.col("id").alias("id")))
-    return joined.groupBy("file_id", "path", "line", "text").agg(F.min(key)["id"].alias("symbol"))
+    # A line is known by its file and number; its text travels but is no key.
+    one = joined.groupBy("file_id", "line").agg(F.first("path").alias("path"), F.first("text").alias("text"), F.min(key)["id"].alias("symbol"))
+    return one.select("file_id", "path", "line", "text", "symbol")
 
 
 def grouped(hits: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:

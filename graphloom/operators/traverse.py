@@ -9,6 +9,11 @@ from graphloom.functions import text as T
 from graphloom.runtime import cut
 
 
+_FOLD = str.maketrans(T.UPPER, T.LOWER)
+#: Nodes up to which a frontier is a list of ids that a scan can be filtered by.
+FEW = 500
+
+
 def split_name(symbol: str) -> tuple[str | None, str]:
     """(container, name): split at the last dot unless the symbol is a path."""
     if "." in symbol and "/" not in symbol:
@@ -24,7 +29,7 @@ def seeds(symbols: DataFrame, symbol: str) -> DataFrame:
     if container is not None:
         tail = container.rsplit(".", 1)[-1]
         held = T.ascii_lower(F.col("container"))
-        out = out.filter(held.isin(container.lower(), tail.lower()))
+        out = out.filter(held.isin(*(x.translate(_FOLD) for x in (container, tail))))
     return out
 
 
@@ -33,30 +38,37 @@ def reach(
 ) -> DataFrame:
     """(id, depth, kind) of every node other than the start reached over edges of other kinds.
 
-    One join of the frontier with the edges and one anti join with the visited per level, on
-    data in the shared checkpoint folder, until nothing new comes or ``depth`` is reached.
-    The kind is that of the first arrival: least id of the frontier, then least kind.
+    A frontier of at most ``FEW`` nodes is a filter on the edges, which passes below unions
+    and distincts to their scans; a larger one is joined. What was visited is taken out by an
+    anti join. Every level but the last is kept in the shared checkpoint folder, until
+    nothing new comes or ``depth`` is reached. The kind is that of the first arrival: least
+    id of the frontier, then least kind.
     """
     near, far = ("src", "dst") if outgoing else ("dst", "src")
     steps = edges.filter(~F.col("kind").isin(*skip)).select(F.col(near).alias("near"), F.col(far).alias("id"), "kind")
-    frontier = cut(start.select("id").distinct())
-    visited, found, level = frontier, [], 0
+    frontier = start.select("id").distinct()
+    visited, found, level = None, [], 0
     while depth is None or level < depth:
-        level += 1
-        met = (
-            steps.join(frontier.select(F.col("id").alias("near")), "near")
-            .groupBy("id").agg(F.min_by("kind", F.struct("near", "kind")).alias("kind"))
-            .join(visited, "id", "left_anti")
-        )
-        met = cut(met.withColumn("depth", F.lit(level)))
-        if met.isEmpty():
+        ids = [r["id"] for r in frontier.limit(FEW + 1).collect()]
+        if not ids:
             break
+        level += 1
+        few = len(ids) <= FEW
+        if visited is None:
+            frontier = steps.sparkSession.createDataFrame([(i,) for i in ids], frontier.schema) if few else cut(frontier)
+            visited = frontier
+        near_by = steps.filter(F.col("near").isin(ids)) if few else steps.join(frontier.select(F.col("id").alias("near")), "near")
+        met = near_by.groupBy("id").agg(F.min_by("kind", F.struct("near", "kind")).alias("kind"))
+        met = met.filter(~F.col("id").isin(ids)) if few and level == 1 else met.join(visited, "id", "left_anti")
+        met = met.withColumn("depth", F.lit(level))
+        if level != depth:
+            met = cut(met)
         found.append(met)
         frontier = met.select("id")
         visited = visited.unionByName(frontier)
         if level % 8 == 0:
             visited = cut(visited)
-    empty = frontier.limit(0).select("id", F.lit(None).cast("string").alias("kind"), F.lit(0).alias("depth"))
+    empty = start.limit(0).select("id", F.lit(None).cast("string").alias("kind"), F.lit(0).alias("depth"))
     for f in found:
         empty = empty.unionByName(f.select("id", "kind", "depth"))
     return empty

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from graphloom.functions import text as T
 from graphloom.functions.hashing import fnv1a
 from graphloom.operators import freshness, graph, rank, retrieval, search, traverse
 from graphloom.plans import testbed as B
-from graphloom.runtime import cut, read_table
+from graphloom.runtime import cut, read_table, spread
 
 QUESTION = "How does the resolve scope of a partial registry walk parents?"
 QUERIES: dict = {}
@@ -97,7 +99,7 @@ def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ask(docs: str, query_text: str, scope: str = "true") -> str:
-    asked = T.query_terms(query_text)
+    asked = [w for w in re.findall(r"[a-z0-9]+", query_text.lower()) if len(w) > 1 and w not in T.STOPWORDS]
     values = ", ".join(f"('{t}', {asked.count(t)})" for t in sorted(set(asked)))
     penalty = "1.0" if retrieval.TEST_WORDS & set(asked) else (
         "case when regexp_matches(path, '(^|/)(test|tests|__tests__)(/|$)') or regexp_matches(path, "
@@ -144,7 +146,7 @@ def ask_test_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("file_id").alias("id"), F.substring_index("path", "/", -1).alias("name"), "path",
         F.substring_index(text, "\n", 1).alias("signature"), text.alias("body"), F.lit(1).cast("long").alias("start_line"),
         F.lit(0).cast("long").alias("in_edges"),
-    ).distinct()
+    )
     return _scores(retrieval.rank(docs, "parse the lazy registry", limit=None))
 
 
@@ -211,22 +213,22 @@ _HIT = "select distinct file_id, path, cast(line as bigint) as line, trim(raw) a
 
 @query(f"with {_SOURCES}, {_LINES} {_HIT} regexp_matches(raw, 'resolve[A-Z]\\w*\\(')")
 def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.matching_lines(B.source_rows(spark, sf_dir), r"resolve[A-Z]\w*\(").distinct()
+    return search.matching_lines(B.source_rows(spark, sf_dir), r"resolve[A-Z]\w*\(")
 
 
 @query(f"with {_SOURCES}, {_LINES} {_HIT} contains(raw, '.clear();')")
 def grep_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.matching_lines(B.source_rows(spark, sf_dir), ".clear();", fixed=True).distinct()
+    return search.matching_lines(B.source_rows(spark, sf_dir), ".clear();", fixed=True)
 
 
 @query(f"with {_SOURCES}, {_LINES} {_HIT} regexp_matches(raw, '(?i)do not edit')")
 def grep_icase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.matching_lines(B.source_rows(spark, sf_dir), "do not edit", fixed=True, ignore_case=True).distinct()
+    return search.matching_lines(B.source_rows(spark, sf_dir), "do not edit", fixed=True, ignore_case=True)
 
 
 @query(f"with {_SOURCES}, {_LINES} {_HIT} regexp_matches(raw, 'return') and (path = 'src' or starts_with(path, 'src/'))")
 def grep_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.matching_lines(B.source_rows(spark, sf_dir), "return", scope="src").distinct()
+    return search.matching_lines(B.source_rows(spark, sf_dir), "return", scope="src")
 
 
 @query(f"""with {_SOURCES}, {_LINES}, {_SYMBOLS}, hits as ({_HIT} contains(raw, 'return')),
@@ -234,7 +236,7 @@ def grep_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
               from hits h left join syms s on s.file_id = h.file_id and h.line between s.start_line and s.end_line group by 1, 2)
     select file_id, symbol, count(*) as hits, min(line) as first_line from owned group by 1, 2""")
 def grep_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.matching_lines(B.source_rows(spark, sf_dir), "return", fixed=True).distinct()
+    hits = search.matching_lines(B.source_rows(spark, sf_dir), "return", fixed=True)
     owned = search.attribute(hits, B.symbols(spark, sf_dir).select("file_id", "id", "start_line", "end_line"))
     return owned.groupBy("file_id", "symbol").agg(F.count(F.lit(1)).alias("hits"), F.min("line").alias("first_line"))
 
@@ -498,7 +500,7 @@ def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     select distinct file_id, array_to_string(ls[3:10], chr(10)) as excerpt from m""")
 def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.source_rows(spark, sf_dir).filter(F.col("text").isNotNull())
-    return rows.select("file_id", T.excerpt(F.col("text"), F.lit(3), F.lit(40)).alias("excerpt")).distinct()
+    return rows.select("file_id", T.excerpt(F.col("text"), F.lit(3), F.lit(40)).alias("excerpt"))
 
 
 @query(f"""with {_SOURCES} select distinct file_id, cast(ceil(size / 4.0) as bigint) as tokens,
@@ -510,7 +512,7 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "file_id", T.estimated_tokens(F.col("size")).cast("long").alias("tokens"), T.percent(F.col("size"), n).alias("pct"),
         T.grouped(F.col("size")).alias("shown"),
-    ).distinct()
+    )
 
 
 @query("""select distinct path, regexp_replace(regexp_replace(path, '/+', '/', 'g'), '^(\\./)+', '') as plain,
@@ -525,7 +527,7 @@ def normalize_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     when ext in ('js', 'mjs', 'cjs', 'jsx') then 'javascript' when ext = 'rs' then 'rust' when ext = 'py' then 'python' when ext = 'go' then 'go'
     when ext in ('sh', 'bash', 'bats') then 'shell' when ext in ('yaml', 'yml') then 'yaml' end as found,
     regexp_matches(path, '(^|/)(test|tests|__tests__)(/|$)') or regexp_matches(path, '(^|/)(test_[^/]*|conftest\\.py|[^/]*(\\.test\\.|_test\\.)[^/]*)$') as test
-    from (select path, regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1) as ext from files where path is not null)""")
+    from (select path, regexp_extract(path, '[^/]\\.([A-Za-z0-9]+)$', 1) as ext from files where path is not null)""")
 def language_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "files").filter(F.col("path").isNotNull()).select("path").distinct()
     return p.select("path", T.language(F.col("path")).alias("found"), T.is_test_path(F.col("path")).alias("test"))
@@ -539,12 +541,8 @@ def fnv1a_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per file; of repeated rows the one with the largest hash and text. Spread by file."""
-    s = read_table(spark, sf_dir, "source_files").select("file_id", "hash", "lang", "text")
-    # A fixed number of partitions: extraction is bound by CPU, so they must not be merged by size.
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    one = s.repartition(parts, "file_id").groupBy("file_id").agg(F.max(F.struct("hash", "lang", "text")).alias("m"))
-    return one.select("file_id", "m.lang", "m.text")
+    """One row per file, spread where the scan has few splits: extraction is bound by CPU."""
+    return spread(B.source_rows(spark, sf_dir).select("file_id", "lang", "text"))
 
 
 @query()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.hierarchy import latest_extracts
-from graphloom.runtime import read_table
+from graphloom.runtime import read_table, small_side
 from graphloom.schema import SYMBOLS_PER_FILE
 
 
@@ -28,7 +28,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per file: file_id, repo_id, path, lang, text, size, hash."""
     s = read_table(spark, sf_dir, "source_files")
-    return s.select("file_id", "repo_id", F.col("rel").alias("path"), "lang", "text", "size", "hash").distinct()
+    cols = ["file_id", "repo_id", "rel", "lang", "text", "size", "hash"]
+    place = [F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__r")]
+    # Repeated rows are told by hashes of their columns and left out by their place: texts stay where they are.
+    w = Window.partitionBy("file_id", "__h").orderBy("__f", "__r")
+    keys = s.select("file_id", F.xxhash64(*cols, *[F.col(c).isNull() for c in cols]).alias("__h"), *place)
+    again = keys.withColumn("__k", F.row_number().over(w)).filter("__k > 1").select("__f", "__r")
+    rows = s.select("file_id", "repo_id", F.col("rel").alias("path"), "lang", "text", "size", "hash", *place)
+    return rows.join(small_side(again), ["__f", "__r"], "left_anti").drop("__f", "__r")
 
 
 def current_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.functions.hashing import fnv1a_hex
+from graphloom.functions.hashing import fnv1a_all
 
 SCHEMA = "path string, lang string, text string, mtime bigint, size bigint, hash string"
 
@@ -30,7 +30,7 @@ def language_of(path: str, head: bytes = b"") -> str | None:
     stem, dot, ext = name.rpartition(".")
     if dot and stem:
         return None if name.endswith(".d.ts") else EXTENSIONS.get(ext)
-    if not dot and head.startswith(b"#!") and re.search(rb"[/ ](?:ba|da|k)?sh", head[:256].split(b"\n")[0].lower()):
+    if not (dot and stem) and head.startswith(b"#!") and re.search(rb"[/ ](?:ba|da|k)?sh", head[:256].split(b"\n")[0].lower()):
         return "shell"
     return None
 
@@ -136,13 +136,13 @@ def read_files(spark: SparkSession, root: str, paths: list[str] | None = None, t
     """
     root = os.path.realpath(root)
     listed = list_files(root) if paths is None else sorted(paths)
-    names = [p for p in listed if "." not in p.rsplit("/", 1)[-1] or language_of(p)]
+    names = [p for p in listed if not p.rsplit("/", 1)[-1].rpartition(".")[0] or language_of(p)]
     tasks = tasks or max(1, min(len(names) // 64 + 1, spark.sparkContext.defaultParallelism * 4))
     frame = spark.createDataFrame([(p,) for p in names], "path string").repartition(tasks) if names else spark.createDataFrame([], "path string")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            rows, bodies = [], []
             for path in pdf["path"]:
                 try:
                     full = os.path.join(root, path)
@@ -150,9 +150,10 @@ def read_files(spark: SparkSession, root: str, paths: list[str] | None = None, t
                         data = f.read()
                     lang = language_of(path, data[:256])
                     if lang:
-                        rows.append((path, lang, data.decode("utf-8"), int(os.stat(full).st_mtime), len(data), fnv1a_hex(data)))
+                        rows.append((path, lang, data.decode("utf-8"), int(os.stat(full).st_mtime), len(data)))
+                        bodies.append(data)
                 except (OSError, UnicodeDecodeError):
                     continue
-            yield pd.DataFrame(rows, columns=["path", "lang", "text", "mtime", "size", "hash"])
+            yield pd.DataFrame(rows, columns=["path", "lang", "text", "mtime", "size"]).assign(hash=fnv1a_all(bodies))
 
     return frame.mapInPandas(read, SCHEMA)

@@ -165,7 +165,7 @@ def test_text_functions(spark):
     row = lambda c, **v: spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} string" for k in v)).select(c.alias("x")).first()["x"]
     assert row(T.terms(F.col("t")), t="How does serverEntry work?") == ["server", "entry", "work"]
     assert row(T.terms(F.col("t")), t=None) == []
-    assert T.query_terms("How does serverEntry work?") == ["server", "entry", "work"]
+    assert T.query_terms("How does serverEntry work?", spark) == ["server", "entry", "work"]
     assert row(T.normalize_path(F.col("t")), t="a/./b//../../../c/d") == "c/d"
     assert row(T.lines(F.col("t")), t="a\r\nb\n") == ["a", "b"] and row(T.lines(F.col("t")), t="") == []
     assert row(T.excerpt(F.col("t"), F.lit(2), F.lit(3)), t="1\n2\n3\n4") == "2\n3"
