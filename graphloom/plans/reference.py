@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.functions.hashing import fnv1a
 from graphloom.operators import freshness, graph, rank, retrieval, search, traverse
+from graphloom.plans import fixtures as X
 from graphloom.plans import testbed as B
 from graphloom.runtime import cut, read_table, spread
 
@@ -569,3 +570,91 @@ def export_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.sinks.cards import cards
 
     return cards(B.current_files(spark, sf_dir), B.symbols(spark, sf_dir))
+
+
+# -- whole graphs, and answers in their order
+
+def _edge_values() -> str:
+    name = lambda x: "null" if x is None else "'" + x + "'"
+    return ", ".join(f"({', '.join(name(x) for x in e)})" for e in X.EDGES)
+
+
+@query(f"""with made(kind, src_path, src, dst_path, dst) as (values {_edge_values()})
+    select n_nationkey::bigint as repo_id, kind, src_path, replace(src, '@', n_nationkey::varchar) as src, dst_path,
+           replace(dst, '@', n_nationkey::varchar) as dst from nation, made""")
+def graph_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports and calls across the files of seven languages, receivers and packages among them."""
+    files, modules = X.repositories(spark, sf_dir)
+    return X.named_edges(files, X.built(cut(files), modules))
+
+
+@query("""select what, n::bigint as n from (values ('symbols', 5 * 400), ('contains', 4 * 400), ('imports', 400 - 1), ('calls', 3 * 400 - 1),
+    ('unresolved', 0)) t(what, n)""")
+def graph_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the graph of generated modules, which are known in closed form."""
+    g = X.built(cut(X.generated(spark)))
+    one = lambda df, what: df.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
+    out = one(g["symbols"], "symbols").unionByName(one(g["sites"].filter(F.col("dst").isNull()), "unresolved"))
+    for kind in ("contains", "imports", "calls"):
+        out = out.unionByName(one(g["edges"].filter(F.col("kind") == kind), kind))
+    return out
+
+
+@query("""select unnest(['process_payment_0_0', 'process_payment_1_0', 'process', 'process', 'process_payment_2_0']) as name, unnest([0, 1, 1, 2, 2]) as depth
+    except all select 'process_payment_0_0', 0""")
+def graph_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who calls the first generated function, to depth 2."""
+    files = cut(X.generated(spark))
+    g = X.built(files)
+    got = traverse.callers(g["symbols"], g["edges"], files, "process_payment_0_0", depth=2)
+    return got.select("name", F.col("depth").cast("int").alias("depth"))
+
+
+@query("""with made(name, depth) as (values ('src/module_1.ts', 1), ('process_payment_1_0', 1), ('process', 2), ('src/module_2.ts', 2), ('process_payment_2_0', 2))
+    select name, depth from made""")
+def graph_file_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file as the seed stands for its members from depth 2 on."""
+    files = cut(X.generated(spark))
+    g = X.built(files)
+    got = traverse.callers(g["symbols"], g["edges"], files, "src/module_0.ts", depth=2)
+    return got.select("name", F.col("depth").cast("int").alias("depth"))
+
+
+@query(f"""with base as ({_ask(_DOCS, QUESTION)}), {_DOCS}
+    select id, row_number() over (order by score desc, path, start_line, id) as rank from base join docs using (id) qualify rank <= 8""")
+def ask_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight best answers in their order."""
+    best = retrieval.rank(B.documents(spark, sf_dir), QUESTION, limit=8)
+    over = Window.orderBy(F.desc(F.round("score", 6)), "path", "start_line", "id")  # over eight rows
+    return best.select("id", F.row_number().over(over).cast("long").alias("rank"))
+
+
+@query(f"""with {_SOURCES}, {_LINES}, {_SYMBOLS}, hits as ({_HIT} contains(raw, 'return')),
+    owned as (select h.file_id, h.path, h.line, h.text, arg_min(s.id, struct_pack(w := s.end_line - s.start_line, id := s.id)) as symbol
+              from hits h left join syms s on s.file_id = h.file_id and h.line between s.start_line and s.end_line group by 1, 2, 3, 4),
+    groups as (select file_id, path, symbol, string_agg(line || ':' || text, chr(10) order by line) as lines from owned group by 1, 2, 3)
+    select g.file_id, g.symbol, g.lines, row_number() over (order by path, coalesce(s.start_line, 0), g.file_id, g.symbol nulls first) as rank
+    from groups g left join syms s on s.id = g.symbol""")
+def grep_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups in the order of answers, with their lines."""
+    symbols = B.symbols(spark, sf_dir)
+    hits = search.matching_lines(B.source_rows(spark, sf_dir), "return", fixed=True)
+    none = spark.createDataFrame([], "src long, dst long, kind string")
+    groups = search.grouped(hits, symbols, none)
+    lines = F.array_join(F.transform("lines", lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["text"])), "\n")
+    # An answer is one list, so its order is over all groups.
+    over = Window.orderBy(F.desc("in_edges"), "path", F.coalesce("start_line", F.lit(0)), "file_id", F.col("symbol").asc_nulls_first())
+    return groups.select("file_id", "symbol", lines.alias("lines"), F.row_number().over(over).cast("long").alias("rank"))
+
+
+@query(f"""with {_SYMBOLS}, {_FILES}, f as (select file_id, path, case when contains(path, '/') then split_part(path, '/', 1) || '/' else '.' end as dir from cur),
+    d as (select dir, count(distinct path) as files from f group by 1), n as (select dir, count(*) as symbols from syms join f using (file_id) group by 1),
+    r as (select dir, coalesce(symbols, 0) as symbols, row_number() over (order by coalesce(symbols, 0) desc, dir) as rank from d left join n using (dir))
+    select dir, symbols, rank, (select greatest(count(*) - 5, 0) from r) as dropped from r where rank <= 5""")
+def map_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five folders with most symbols and how many were left out."""
+    symbols = cut(B.symbols(spark, sf_dir))
+    none = spark.createDataFrame([], "src long, dst long, kind string")
+    m = rank.repo_map(B.current_files(spark, sf_dir), symbols, none, 5)
+    rows = [(d["dir"], d["symbols"], i, m["dropped_dirs"]) for i, d in enumerate(m["dirs"], 1)]
+    return spark.createDataFrame(rows, "dir string, symbols long, rank long, dropped long")
