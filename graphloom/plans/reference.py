@@ -168,20 +168,6 @@ def ask_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(retrieval.rank(_search_docs(spark, sf_dir), "bind catalog shard", limit=None))
 
 
-@query(f"""with base as ({_ask(_SEARCH_DOCS, 'bind catalog shard')}), d as (select distinct id, name, repo_id,
-      concat_ws('/', cast(repo_id as varchar), kind) as path from search_docs where repo_id in (1, 7, 34)),
-    k as (select id, repo_id, path, row_number() over (partition by repo_id order by score desc, path, id) as turn from base join d using (id))
-    select id, repo_id, row_number() over (order by turn, case repo_id when 7 then 0 when 1 then 1 else 2 end) as rank
-    from k qualify rank <= 12""")
-def workspace_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = retrieval.rank(_search_docs(spark, sf_dir), "bind catalog shard", limit=None)
-    ranked = ranked.withColumn("score", F.round("score", 6)).withColumn("repo", F.substring_index("path", "/", 1))
-    ranked = ranked.filter(F.col("repo").isin("1", "7", "34"))
-    return retrieval.interleave(ranked, "repo", ["7", "1", "34"], 12).select(
-        "id", F.col("repo").cast("long").alias("repo_id"), F.col("rank").cast("long").alias("rank")
-    )
-
-
 @query(f"""with base as ({_ask(_SEARCH_DOCS, 'bind catalog shard')}), d as (select distinct id, name, repo_id,
       concat_ws('/', cast(repo_id as varchar), kind) as path from search_docs),
     places as (select repo_id, row_number() over (order by coalesce(label, ''), repo_id) as place
@@ -189,7 +175,7 @@ def workspace_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     k as (select id, repo_id, row_number() over (partition by repo_id order by score desc, path, id) as turn from base join d using (id))
     select id, repo_id, row_number() over (order by turn, place) as rank
     from k join places using (repo_id) qualify rank <= 12""")
-def workspace_round_robin_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def workspace_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All repositories, by label."""
     ranked = retrieval.rank(_search_docs(spark, sf_dir), "bind catalog shard", limit=None)
     ranked = ranked.withColumn("score", F.round("score", 6)).withColumn("repo", F.substring_index("path", "/", 1))
@@ -388,42 +374,60 @@ def resolve_receiver(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _import_sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     files = cut(B.current_files(spark, sf_dir))
     x = read_table(spark, sf_dir, "extracted").groupBy("file_id").agg(F.max(F.struct("extracted_at", "imports")).alias("m"))
-    # The tables' specifiers name no path of theirs, so each file also imports its neighbours by name.
-    extra = files.select("file_id", F.concat(F.lit("./"), F.regexp_extract("path", r"([^/.]+)\.[a-z]+$", 1)).alias("spec")).filter("spec <> './'")
-    specs = x.select("file_id", F.explode("m.imports").alias("spec")).filter(F.col("spec").isNotNull()).unionByName(extra)
+    specs = x.select("file_id", F.explode("m.imports").alias("spec")).filter(F.col("spec").isNotNull())
     return files.select("repo_id", "file_id", "path", "lang").join(specs.distinct(), "file_id"), files
 
 
+def _plain(p: str) -> str:
+    """SQL that takes ``.`` and ``..`` out of a path; nothing is above the root."""
+    return (
+        f"list_reduce(list_concat([''], string_split({p}, '/')), lambda a, x: case when x in ('', '.') then a when x = '..' then "
+        "regexp_replace(a, '/?[^/]*$', '') when a = '' then x else a || '/' || x end)"
+    )
+
+
+_JS_ENDS = "['.ts', '.tsx', '.js', '.mjs', '.cjs', '#', '/index.ts', '/index.tsx', '/index.js', '/index.mjs', '/index.cjs']"
 _IMPORTS = f"""{_FILES}, latest_i as (select file_id, max(struct_pack(a := extracted_at, i := imports)).i as imports from extracted group by 1),
-specs as (select file_id, unnest(imports) as spec from latest_i union
-          select file_id, './' || regexp_extract(path, '([^/.]+)\\.[a-z]+$', 1) from cur),
-sites as (select repo_id, file_id, path, lang, spec from cur join specs using (file_id) where spec is not null and spec <> './'),
-js as (select *, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') || '/' else '' end || regexp_replace(spec, '^\\./', '') as stem
-       from sites where lang in ('typescript', 'tsx', 'javascript') and starts_with(spec, './')),
-cands as (select repo_id, file_id, spec, unnest(['.ts', '.tsx', '.js', '.mjs', '.cjs', '', '/index.ts', '/index.tsx', '/index.js', '/index.mjs', '/index.cjs']) as ext,
-                 stem from js),
-tried as (select repo_id, file_id, spec, stem || ext as candidate,
-                 list_position(['.ts', '.tsx', '.js', '.mjs', '.cjs', '', '/index.ts', '/index.tsx', '/index.js', '/index.mjs', '/index.cjs'], ext) as place from cands),
+specs as (select distinct file_id, unnest(imports) as spec from latest_i),
+sites as (select repo_id, file_id, path, lang, spec, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as folder
+          from cur join specs using (file_id) where spec is not null),
+js as (select repo_id, file_id, spec, {_plain("folder || '/' || spec")} as stem from sites where lang in ('typescript', 'tsx', 'javascript') and starts_with(spec, '.')),
+py as (select repo_id, file_id, spec, length(regexp_extract(spec, '^\\.*')) as dots, replace(regexp_replace(spec, '^\\.+', ''), '.', '/') as m, folder from sites where lang = 'python'),
+py2 as (select repo_id, file_id, spec, case when dots = 0 then {_plain("m")} else {_plain("folder || '/' || repeat('../', dots - 1) || m")} end as stem from py),
+rs as (select repo_id, file_id, spec, path, folder,
+         regexp_replace(regexp_replace(split_part(split_part(spec, ' as ', 1), '{{', 1), ':+$', ''), '(::\\*)+$', '') as raw from sites where lang = 'rust'),
+rs2 as (select *, regexp_extract(raw, '^(crate|self|super)::', 1) as head, regexp_replace(raw, '^(crate|self|super)::', '') as rest from rs),
+rs3 as (select *, list_filter(string_split(rest, '::'), lambda p: p not in ('', 'self')) as parts,
+          case head when 'crate' then case when contains(path, '/src/') then regexp_extract(path, '^(.*/src)/', 1) when starts_with(path, 'src/') then 'src' else folder end
+               when 'super' then case when contains(folder, '/') then regexp_replace(folder, '/[^/]*$', '') else '' end else folder end as base from rs2),
+rs4 as (select repo_id, file_id, spec, base, parts, unnest(range(1, len(parts) + 1)) as k from rs3
+        where (head <> '' or not contains(raw, '::')) and rest <> '' and len(parts) > 0),
+tried as (
+  select repo_id, file_id, spec, unnest(range(1, 12)) as place,
+         unnest(list_transform({_JS_ENDS}, lambda e: case when e = '#' then stem else regexp_replace(stem, '\\.js$', '') || e end)) as candidate from js
+  union all select repo_id, file_id, spec, unnest([1, 2]), unnest([stem || '.py', stem || '/__init__.py']) from py2
+  union all select repo_id, file_id, spec, unnest([1, 2]), unnest([{_plain("folder || '/' || spec")}, {_plain("spec")}]) from sites
+            where lang = 'shell' and not contains(spec, '$') and not contains(spec, '`')
+  union all select repo_id, file_id, spec, unnest([1, 2, 3]), unnest([{_plain("spec")}, {_plain("spec")} || '/action.yml', {_plain("spec")} || '/action.yaml']) from sites
+            where lang = 'yaml' and starts_with(spec, '.')
+  union all select repo_id, file_id, spec, unnest([2 * (len(parts) - k) + 1, 2 * (len(parts) - k) + 2]),
+            unnest(list_transform(['.rs', '/mod.rs'], lambda e: {_plain("base || '/' || array_to_string(parts[:k], '/')")} || e)) from rs4),
 hits as (select t.repo_id, t.file_id, t.spec, arg_min(c.file_id, struct_pack(place := place, id := c.file_id)) as target
          from tried t join cur c on c.repo_id = t.repo_id and c.path = t.candidate group by 1, 2, 3)"""
-_JS_ONLY = ("typescript", "tsx", "javascript")
 
 
 @query(f"with {_IMPORTS} select file_id, spec, target from hits")
 def import_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites, files = _import_sites(spark, sf_dir)
-    return graph.first_match(sites.filter(F.col("lang").isin(*_JS_ONLY)), files).select("file_id", "spec", "target")
+    return graph.first_match(sites, files).select("file_id", "spec", "target")
 
 
-@query(f"""with {_IMPORTS}, outside as (select * from sites s where lang in ('typescript', 'tsx', 'javascript')
-      and not exists (select 1 from hits h where h.file_id = s.file_id and h.spec = s.spec))
+@query(f"""with {_IMPORTS}, outside as (select * from sites s
+      where not exists (select 1 from hits h where h.file_id = s.file_id and h.spec = s.spec))
     select repo_id, spec, arg_min(file_id, struct_pack(p := path, i := file_id)) as anchor, count(*) as importers from outside group by 1, 2""")
 def import_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites, files = _import_sites(spark, sf_dir)
-    return _outside(cut(sites.filter(F.col("lang").isin(*_JS_ONLY))), files)
-
-
-def _outside(sites: DataFrame, files: DataFrame) -> DataFrame:
+    sites = cut(sites)
     hits = graph.first_match(sites, files)
     outside = sites.join(hits, ["repo_id", "file_id", "spec"], "left_anti")
     return outside.groupBy("repo_id", "spec").agg(
@@ -431,18 +435,13 @@ def _outside(sites: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-@query()
-def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As import_first_match, for the sites of all languages."""
-    sites, files = _import_sites(spark, sf_dir)
-    return graph.first_match(sites, files).select("file_id", "spec", "target")
-
-
-@query()
-def import_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As import_external, for the sites of all languages."""
-    sites, files = _import_sites(spark, sf_dir)
-    return _outside(cut(sites), files)
+@query(f"""with {_IMPORTS}, n as (select lang, place, candidate, count(*) as sites from tried join (select file_id, lang from cur) using (file_id) group by 1, 2, 3)
+    select lang, place - 1 as place, candidate, sites from n""")
+def import_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths that the sites of each language try, with the place and how often."""
+    sites, _ = _import_sites(spark, sf_dir)
+    tried = sites.select("lang", F.posexplode(graph.import_candidates(F.col("path"), F.col("lang"), F.col("spec"))).alias("place", "candidate"))
+    return tried.groupBy("lang", F.col("place").cast("long").alias("place"), "candidate").agg(F.count(F.lit(1)).alias("sites"))
 
 
 @query(f"with {_EDGES} select kind, count(*) as edges from edges group by 1")
@@ -462,28 +461,13 @@ def contains_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- freshness and scalar functions
 
-@query("""with stored as (select cast(doc_id as varchar) as path, md5(coalesce(text, '')) as hash from documents where doc_id % 19 <> 0),
-    live as (select cast(doc_id as varchar) as path, md5(coalesce(text, '') || case when doc_id % 13 = 0 then '!' else '' end) as hash
-             from documents where doc_id % 17 <> 0)
-    select coalesce(s.path, l.path) as path, case when s.path is null then 'added' when l.path is null then 'deleted' else 'modified' end as change
-    from stored s full join live l on s.path = l.path where s.hash is distinct from l.hash""")
-def freshness_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents against a changed copy: some dropped, some edited, some new."""
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), F.coalesce("text", F.lit("")).alias("text"))
-    path = F.col("n").cast("string").alias("path")
-    stored = d.filter("n % 19 <> 0").select(path, F.md5("text").alias("hash"))
-    edited = F.concat("text", F.when(F.col("n") % 13 == 0, "!").otherwise(""))
-    live = d.filter("n % 17 <> 0").select(path, F.md5(edited).alias("hash"))
-    return freshness.diff(stored, live)
-
-
 @query(f"""with {_FILES}, stored as (
       select file_id, max(struct_pack(a := extracted_at, h := lower(x.hash))).h as hash from file_extracts x join
         (select distinct run_id from index_runs where status = 'ok') r using (run_id)
       where error is null and x.hash is not null and extracted_at is not null and file_id is not null group by 1)
     select coalesce(s.file_id, l.file_id) as file_id, case when s.file_id is null then 'added' when l.file_id is null then 'deleted' else 'modified' end as change
     from stored s full join cur l on s.file_id = l.file_id where s.hash is distinct from l.hash""")
-def freshness_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def freshness_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files as last scanned against their last successful extraction."""
     ok = read_table(spark, sf_dir, "index_runs").filter("status = 'ok'").select("run_id").distinct()
     x = read_table(spark, sf_dir, "file_extracts").filter("error is null and hash is not null and extracted_at is not null and file_id is not null")

@@ -16,5 +16,5 @@ def test_every_file_is_compared(spark, tmp_path):
         ("index_runs", [(1, "ok"), (1, "ok"), (2, "failed")], "run_id long, status string"),
     ):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    got = {r["file_id"]: r["change"] for r in reference.QUERIES["freshness_files"](spark, str(tmp_path)).collect()}
+    got = {r["file_id"]: r["change"] for r in reference.QUERIES["freshness_diff"](spark, str(tmp_path)).collect()}
     assert got == {n: "added", n * 2: "deleted", 2: "modified", 4: "added", 6: "modified"}

@@ -78,7 +78,7 @@ def test_all_languages(spark, table, monkeypatch):
         spark.createDataFrame(files, "repo_id long, file_id long, path string, lang string"),
     )
     monkeypatch.setattr(reference, "_import_sites", lambda *_: made)
-    got = {(r["file_id"], r["spec"]): r["target"] for r in reference.QUERIES["import_targets"](spark, "").collect()}
+    got = {(r["file_id"], r["spec"]): r["target"] for r in reference.QUERIES["import_first_match"](spark, "").collect()}
     assert got == want
     of = {i: lang for _, i, _, lang in files}
     assert {of[i] for i, _ in want} == set(EXT) - {"go"}
@@ -86,5 +86,5 @@ def test_all_languages(spark, table, monkeypatch):
     for repo, i, path, _, spec in sites:
         if (i, spec) not in want:
             outside.setdefault((repo, spec), []).append((path, i))
-    rows = reference.QUERIES["import_outside"](spark, "").collect()
+    rows = reference.QUERIES["import_external"](spark, "").collect()
     assert {(r["repo_id"], r["spec"]): (r["anchor"], r["importers"]) for r in rows} == {k: (min(v)[1], len(v)) for k, v in outside.items()}
