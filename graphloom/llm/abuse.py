@@ -47,7 +47,7 @@ MAX_CLEAN_WINDOWS = 6_000
 #: Weight of the assumption that words never seen are clean, in sentences.
 PRIOR = 60.0
 #: Probability from which a document counts as found.
-THRESHOLD = 0.55
+THRESHOLD = 0.65
 #: Characters scored at a time, small enough for the arrays to stay in the cache.
 CHUNK = 150_000
 
@@ -472,7 +472,7 @@ def fit(reviewed: list[tuple[str, bool]], leave_out=None, seed: int = 5, fair: f
 
 
 def training_sample(documents: DataFrame, reviews: DataFrame) -> list[tuple[str, bool]]:
-    """At most ``MAX_TRAIN_DOCS`` reviewed texts, the same ones on every run; positives first half.
+    """At most ``MAX_TRAIN_DOCS`` reviewed texts, the same ones on every run; at most half of them positive.
 
     A document with several reviews is positive if most of them are not ``clean``.
     """
@@ -482,12 +482,14 @@ def training_sample(documents: DataFrame, reviews: DataFrame) -> list[tuple[str,
         .agg(F.avg((F.col("label") != "clean").cast("int")).alias("share"))
         .select("doc_id", (F.col("share") > 0.5).alias("positive"))
     )
-    def part(positive: bool) -> DataFrame:
+
+    def part(positive: bool, most: int) -> DataFrame:
         # Chosen before the join: at most MAX_TRAIN_DOCS keys meet the texts.
         side = votes.filter(F.col("positive") == positive)
-        return side.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN_DOCS // 2)
+        return side.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
-    picked = part(True).unionByName(part(False))
+    bad = part(True, MAX_TRAIN_DOCS // 2)
+    picked = bad.unionByName(part(False, MAX_TRAIN_DOCS - bad.count()))
     texts = documents.filter(F.length("text").between(1, MAX_TRAIN_CHARS)).select("doc_id", "text")
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "positive").distinct().collect()
     return [(r["text"], r["positive"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
