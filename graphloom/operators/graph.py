@@ -108,7 +108,7 @@ def resolve_typed(calls: DataFrame, defs: DataFrame, keys: tuple[str, ...] = ("r
 
 
 def receiver_types(calls: DataFrame, extracts: DataFrame) -> DataFrame:
-    """Adds ``type`` to calls (file_id, from, callee, receiver, ..) that have a receiver.
+    """Adds ``type`` to calls (file_id, at, from, callee, receiver, container, ..) that have a receiver.
 
     this/self: the caller's container. this.f/self.f: the binding of ``this.f``, else f, in
     the class named like the container. Other receivers: the binding in the caller, else at
@@ -119,35 +119,35 @@ def receiver_types(calls: DataFrame, extracts: DataFrame) -> DataFrame:
         .groupBy("file_id", F.coalesce("b.owner", F.lit(-1)).alias("owner"), F.col("b.name").alias("bound"))
         .agg(F.max_by("b.ty", "at").alias("ty"))
     )
-    held = extracts.select("file_id", F.posexplode("containers").alias("from", "container"))
     classes = (
         extracts.select("file_id", F.posexplode("symbols").alias("class_at", "s"))
         .filter(F.col("s.kind") == "class")
         .groupBy("file_id", F.col("s.name").alias("container"))
         .agg(F.min("class_at").alias("class_at"))
     )
+    c = calls.join(classes, ["file_id", "container"], "left")
     own = F.col("receiver").isin("this", "self")
-    field = F.regexp_extract("receiver", r"^(?:this|self)\.(.*)$", 1)
-    c = calls.join(held, ["file_id", "from"], "left").join(classes, ["file_id", "container"], "left")
-    c = c.withColumn("field", F.when(F.col("receiver").rlike(r"^(this|self)\."), field))
-
-    def look(df: DataFrame, owner: Column, bound: Column, name: str) -> DataFrame:
-        side = binds.select(F.col("file_id"), F.col("owner").alias("__o"), F.col("bound").alias("__b"), F.col("ty").alias(name))
-        return (
-            df.withColumn("__o", owner).withColumn("__b", bound).join(side, ["file_id", "__o", "__b"], "left").drop("__o", "__b")
-        )
-
-    c = look(c, F.col("class_at"), F.concat(F.lit("this."), F.col("field")), "t1")
-    c = look(c, F.col("class_at"), F.col("field"), "t2")
-    plain = F.when(~own & F.col("field").isNull(), F.col("receiver"))
-    c = look(c, F.coalesce("from", F.lit(-1)), plain, "t3")
-    c = look(c, F.lit(-1), plain, "t4")
-    kind = F.when(own, F.col("container")).when(F.col("field").isNotNull(), F.coalesce("t1", "t2")).otherwise(F.coalesce("t3", "t4"))
-    return c.withColumn("type", kind).drop("t1", "t2", "t3", "t4", "field", "class_at", "container")
+    field = F.when(F.col("receiver").rlike(r"^(this|self)\."), F.regexp_extract("receiver", r"^(?:this|self)\.(.*)$", 1))
+    plain = F.when(~own & field.isNull(), F.col("receiver"))
+    # All places a binding may be looked for, best first, in one join.
+    place = lambda k, owner, bound: F.struct(F.lit(k).alias("k"), owner.cast("int").alias("owner"), bound.alias("bound"))
+    places = F.array(
+        place(0, F.col("class_at"), F.concat(F.lit("this."), field)), place(1, F.col("class_at"), field),
+        place(2, F.coalesce("from", F.lit(-1)), plain), place(3, F.lit(-1), plain),
+    )
+    asked = c.select("file_id", "at", F.explode(F.filter(places, lambda x: x["owner"].isNotNull() & x["bound"].isNotNull())).alias("p"))
+    found = (
+        asked.select("file_id", "at", "p.*").join(binds, ["file_id", "owner", "bound"])
+        .groupBy("file_id", "at").agg(F.min_by("ty", "k").alias("bound_type"))
+    )
+    out = c.join(found, ["file_id", "at"], "left")
+    return out.withColumn("type", F.when(own, F.col("container")).otherwise(F.col("bound_type"))).drop("bound_type", "class_at", "container")
 
 
 def call_sites(files: DataFrame, extracts: DataFrame) -> DataFrame:
-    sites = extracts.select("file_id", F.explode("calls").alias("c")).select("file_id", "c.*")
+    sites = extracts.select("file_id", "containers", F.posexplode("calls").alias("at", "c")).select(
+        "file_id", "at", "c.*", F.get("containers", F.col("c.from")).alias("container")
+    )
     return files.select("repo_id", "file_id").join(sites, "file_id").withColumn(
         "src", symbol_id(F.col("file_id"), F.coalesce("from", F.lit(-1)))
     )

@@ -98,9 +98,14 @@ def stats_join(rows: DataFrame, stats: DataFrame, key: str, weight: str, hot_row
     """
     total = stats.agg(F.sum(weight)).first()[0] or 0
     limit = max(1, total // hot_rows)
-    hot = stats.filter(F.col(weight) > limit)
-    hot_keys = hot.select(key, F.lit(True).alias("__hot"))
-    marked = rows.join(F.broadcast(hot_keys), key, "left")
-    warm = marked.filter(F.col("__hot")).drop("__hot").join(F.broadcast(hot), key)
-    cold = marked.filter(F.col("__hot").isNull()).drop("__hot").join(stats.filter(F.col(weight) <= limit), key)
-    return warm.unionByName(cold)
+    values = [c for c in stats.columns if c != key]
+    hot = stats.filter(F.col(weight) > limit).select(key, *[F.col(c).alias(f"__hot_{c}") for c in values])
+    cold = stats.filter(F.col(weight) <= limit).select(F.col(key).alias("__key"), *[F.col(c).alias(f"__cold_{c}") for c in values])
+    # The rows are read once. Those of hot keys go through the second join under keys that
+    # no row of it has, dealt out evenly.
+    marked = rows.join(F.broadcast(hot), key, "left")
+    spare = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*rows.columns), F.lit(4096)).cast("string"))
+    at = F.when(F.col(f"__hot_{weight}").isNull(), F.col(key).cast("string")).otherwise(spare)
+    both = marked.withColumn("__at", at).join(cold, F.col("__at") == F.col("__key").cast("string"), "left")
+    out = both.select(*[F.col(c) for c in rows.columns], *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in values])
+    return out.filter(F.col(weight).isNotNull())
