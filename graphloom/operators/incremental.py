@@ -83,7 +83,8 @@ class VersionedTarget:
     folders that none of the last ``KEEP`` versions needs are removed then.
 
     ``order``: a column by which a record is newer than another (a scan time). Rows that are
-    not newer than what the target holds of their key are late and are no work.
+    not newer than what the target holds of their key are late and are no work (of equal
+    times the larger version is the newer).
     """
 
     LOG = "_versions"
@@ -180,7 +181,9 @@ class VersionedTarget:
         if not self.order:
             return pending(source, now, self.key, self.version)
         held = now.select(F.col(self.key).alias("__k"), F.col(self.version).alias("__v"), F.col(self.order).alias("__o"))
-        settled = (F.col("__v") == F.col(self.version)) | ~F.coalesce(F.col(self.order) > F.col("__o"), F.col("__o").isNull())
+        later = F.col("__o").isNull() | F.coalesce(F.col(self.order) > F.col("__o"), F.lit(False))
+        later = later | (F.col(self.order).eqNullSafe(F.col("__o")) & (F.col(self.version) > F.col("__v")))
+        settled = (F.col("__v") == F.col(self.version)) | ~later
         return source.join(held, (F.col(self.key) == F.col("__k")) & settled, "left_anti")
 
     def publish(self, rows: DataFrame, drop_missing_from: DataFrame | None = None) -> int:

@@ -91,7 +91,7 @@ def test_repeated_and_late_rows_of_a_source(spark, tmp_path):
     first = target.pending(src((1, "a", 1, {}), (1, "a", 1, None), (1, "b", 2, None), (2, "x", None, None), (2, "w", None, None)))
     assert sorted((r["id"], r["version"]) for r in first.collect()) == [(1, "b"), (2, "x")]
     target.publish(first)
-    again = src((1, "a", 1, None), (1, "z", 2, None), (2, "y", 1, None), (2, "x", 5, None), (3, "q", None, None))
+    again = src((1, "a", 1, None), (1, "aa", 2, None), (2, "y", 1, None), (2, "x", 5, None), (3, "q", None, None))
     # Of 2 the newest row has the version held; of 1 no row is newer.
     assert sorted((r["id"], r["version"]) for r in target.pending(again).collect()) == [(3, "q")]
     assert sorted((r["id"], r["version"]) for r in target.pending(again.filter("version <> 'x'")).collect()) == [(2, "y"), (3, "q")]
