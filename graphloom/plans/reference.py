@@ -198,24 +198,29 @@ numbered as (
 _HIT = "select distinct file_id, path, cast(line as bigint) as line, trim(raw) as text from lines where "
 
 
+def _once(hits: DataFrame) -> DataFrame:
+    """Lines of repeated rows once; a line is known by its file and number."""
+    return hits.dropDuplicates(["file_id", "path", "line"])
+
+
 @query(f"with {_SOURCES}, {_LINES} {_HIT} regexp_matches(raw, 'resolve[A-Z]\\w*\\(')")
 def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.matching_lines(B.source_rows(spark, sf_dir), r"resolve[A-Z]\w*\(")
+    return _once(search.matching_lines(B.source_scan(spark, sf_dir), r"resolve[A-Z]\w*\("))
 
 
 @query(f"with {_SOURCES}, {_LINES} {_HIT} contains(raw, '.clear();')")
 def grep_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.matching_lines(B.source_rows(spark, sf_dir), ".clear();", fixed=True)
+    return _once(search.matching_lines(B.source_scan(spark, sf_dir), ".clear();", fixed=True))
 
 
 @query(f"with {_SOURCES}, {_LINES} {_HIT} regexp_matches(raw, '(?i)do not edit')")
 def grep_icase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.matching_lines(B.source_rows(spark, sf_dir), "do not edit", fixed=True, ignore_case=True)
+    return _once(search.matching_lines(B.source_scan(spark, sf_dir), "do not edit", fixed=True, ignore_case=True))
 
 
 @query(f"with {_SOURCES}, {_LINES} {_HIT} regexp_matches(raw, 'return') and (path = 'src' or starts_with(path, 'src/'))")
 def grep_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.matching_lines(B.source_rows(spark, sf_dir), "return", scope="src")
+    return _once(search.matching_lines(B.source_scan(spark, sf_dir), "return", scope="src"))
 
 
 @query(f"""with {_SOURCES}, {_LINES}, {_SYMBOLS}, hits as ({_HIT} contains(raw, 'return')),
@@ -223,7 +228,7 @@ def grep_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
               from hits h left join syms s on s.file_id = h.file_id and h.line between s.start_line and s.end_line group by 1, 2)
     select file_id, symbol, count(*) as hits, min(line) as first_line from owned group by 1, 2""")
 def grep_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.matching_lines(B.source_rows(spark, sf_dir), "return", fixed=True)
+    hits = _once(search.matching_lines(B.source_scan(spark, sf_dir), "return", fixed=True))
     owned = search.attribute(hits, B.symbols(spark, sf_dir).select("file_id", "id", "start_line", "end_line"))
     return owned.groupBy("file_id", "symbol").agg(F.count(F.lit(1)).alias("hits"), F.min("line").alias("first_line"))
 
@@ -484,20 +489,20 @@ def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     m as (select file_id, case when ls[len(ls)] = '' then ls[:len(ls) - 1] else ls end as ls from l)
     select distinct file_id, array_to_string(ls[3:10], chr(10)) as excerpt from m""")
 def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.source_rows(spark, sf_dir).filter(F.col("text").isNotNull())
-    return rows.select("file_id", T.excerpt(F.col("text"), F.lit(3), F.lit(40)).alias("excerpt"))
+    rows = B.source_scan(spark, sf_dir).filter(F.col("text").isNotNull())
+    return rows.select("file_id", T.excerpt(F.col("text"), F.lit(3), F.lit(40)).alias("excerpt")).dropDuplicates(["file_id"])
 
 
 @query(f"""with {_SOURCES} select distinct file_id, cast(ceil(size / 4.0) as bigint) as tokens,
     case when octet_length(encode(coalesce(text, ''))) > 0 then cast(floor(size * 100 / octet_length(encode(text))) as bigint) else 0 end as pct,
     regexp_replace(cast(size as varchar), '(\\d)(\\d{{3}})$', '\\1,\\2') as shown from sources where size is not null""")
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = B.source_rows(spark, sf_dir).filter(F.col("size").isNotNull())
+    rows = B.source_scan(spark, sf_dir).filter(F.col("size").isNotNull())
     n = F.octet_length(F.coalesce("text", F.lit("")))
     return rows.select(
         "file_id", T.estimated_tokens(F.col("size")).cast("long").alias("tokens"), T.percent(F.col("size"), n).alias("pct"),
         T.grouped(F.col("size")).alias("shown"),
-    )
+    ).dropDuplicates(["file_id"])
 
 
 @query("""select distinct path, regexp_replace(regexp_replace(path, '/+', '/', 'g'), '^(\\./)+', '') as plain,
@@ -622,7 +627,7 @@ def ask_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grep_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups in the order of answers, with their lines."""
     symbols = B.symbols(spark, sf_dir)
-    hits = search.matching_lines(B.source_rows(spark, sf_dir), "return", fixed=True)
+    hits = _once(search.matching_lines(B.source_scan(spark, sf_dir), "return", fixed=True))
     none = spark.createDataFrame([], "src long, dst long, kind string")
     groups = search.grouped(hits, symbols, none)
     lines = F.array_join(F.transform("lines", lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["text"])), "\n")

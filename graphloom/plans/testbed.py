@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.hierarchy import latest_extracts
-from graphloom.runtime import read_table, small_side
+from graphloom.runtime import cut, read_table, small_side, spread
 from graphloom.schema import SYMBOLS_PER_FILE
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as symbols: path from source and language, signature the first line, body the text."""
-    d = read_table(spark, sf_dir, "documents")
+    # Cutting texts into terms is bound by CPU.
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "author"))
     text = F.coalesce("text", F.lit(""))
     return d.select(
         F.col("doc_id").alias("id"),
@@ -28,16 +29,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per file: file_id, repo_id, path, lang, text, size, hash."""
     s = read_table(spark, sf_dir, "source_files")
-    cols = ["file_id", "repo_id", "rel", "lang", "text", "size", "hash"]
     place = [F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__r")]
-    # Repeated rows are told by hashes of their columns and left out by their place: texts stay where they are.
-    w = Window.partitionBy("file_id", "__h").orderBy("__f", "__r")
-    keys = s.select("file_id", F.xxhash64(*cols, *[F.col(c).isNull() for c in cols]).alias("__h"), *place)
-    again = keys.withColumn("__k", F.row_number().over(w)).filter("__k > 1").select("__f", "__r")
+    # Repeated rows are told by their other columns (the content hash among them) and left out
+    # by their place: texts are neither read for it nor moved.
+    cols = ["file_id", "repo_id", "rel", "lang", "size", "hash"]
+    w = Window.partitionBy(*cols).orderBy("__f", "__r")
+    keys = s.select(*cols, *place)
+    again = cut(keys.withColumn("__k", F.row_number().over(w)).filter("__k > 1").select("__f", "__r"))
     rows = s.select("file_id", "repo_id", F.col("rel").alias("path"), "lang", "text", "size", "hash", *place)
     return rows.join(small_side(again), ["__f", "__r"], "left_anti").drop("__f", "__r")
 
 
+def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same columns, repeated rows and all: for what is made distinct by its small results."""
+    s = read_table(spark, sf_dir, "source_files")
+    return s.select("file_id", "repo_id", F.col("rel").alias("path"), "lang", "text", "size", "hash")
+
+
 def current_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, repo_id, path, lang, size, hash of the latest scan that has a hash."""
     f = read_table(spark, sf_dir, "files").filter(F.col("hash").isNotNull())
