@@ -12,7 +12,7 @@ __all__ = ["QUERIES", "SQL"]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.failing_files(read_table(spark, sf_dir, "source_files")).select("file_id")
+    return parsing.failing_ids(read_table(spark, sf_dir, "source_files"))
 
 
 def p1_failures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,11 @@ def parser(lang: str):
     return got
 
 
+def forget(lang: str) -> None:
+    """Have the parser of ``lang`` begun anew."""
+    _LOADED.pop(lang, None)
+
+
 def failure(lang: str, text: str) -> tuple[int, str, str] | None:
     p = parser(lang)
     if p is None or not text:
